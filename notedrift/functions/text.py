@@ -94,11 +94,13 @@ def join_tokens(tokens, sep: str = " ") -> Column:
     return F.array_join(_c(tokens), sep)
 
 
+# Fixed value: markup pattern removed from review text (tags, lower-case entities).
+MARKUP_PATTERN = r"<.*?>|&([a-z0-9]+|#[0-9]{1,6}|#x[0-9a-f]{1,6});"
+
+
 def strip_markup(col) -> Column:
-    """Remove tags ``<...>`` and character entities, then lower-case."""
-    x = F.regexp_replace(_c(col), r"<[^>]*>", "")
-    x = F.regexp_replace(x, r"&([a-zA-Z]+|#[0-9]+|#x[0-9a-fA-F]+);", "")
-    return F.lower(x)
+    """Remove tags ``<...>`` (within a line) and character entities."""
+    return F.regexp_replace(_c(col), MARKUP_PATTERN, "")
 
 
 def remove_stopwords(tokens, stopwords: Iterable[str]) -> Column:

@@ -104,3 +104,279 @@ LEFT JOIN dist dy ON dy.a = l.rcp_no AND dy.b = l.prior_y
 """)
 
 register("note_change", NOTE_CHANGE_SQL)(note_change)
+
+
+# ---------------------------------------------------------------- revisions (F)
+RESOLVE_SQL = with_views(["resolved"], "SELECT crp_cd, rpt_nm, rcp_no, rcp_dt, dic_cls FROM resolved")
+
+
+@register("resolve_revisions", RESOLVE_SQL)
+def q_resolve_revisions(spark, sf_dir):
+    return resolved(spark, sf_dir).select("crp_cd", "rpt_nm", "rcp_no", "rcp_dt", "dic_cls")
+
+
+@register("resolve_revisions_strict", with_views(["has_note"], r"""
+WITH r0 AS (
+  SELECT *, CAST(try_strptime(rcp_dt, '%Y.%m.%d') AS DATE)
+              < CAST(make_date(_cy, _cm, 1) + INTERVAL 3 MONTH AS DATE) AS _on_time
+  FROM (SELECT *, TRY_CAST(regexp_extract(rpt_nm, '\((\d{4})\.(\d{1,2})', 1) AS INTEGER) AS _cy,
+                  TRY_CAST(regexp_extract(rpt_nm, '\((\d{4})\.(\d{1,2})', 2) AS INTEGER) AS _cm FROM has_note)
+),
+r1 AS (
+  SELECT *, row_number() OVER w AS _nth, lead(_on_time) OVER w AS _no, lead(rcp_no) OVER w AS _nx
+  FROM r0 WINDOW w AS (PARTITION BY crp_cd, rpt_nm ORDER BY rcp_dt, rcp_no)
+)
+SELECT crp_cd, rpt_nm, rcp_no, rcp_dt, dic_cls FROM r1
+WHERE NOT ((_nth > 1 AND NOT coalesce(_on_time, false)) OR (_nx IS NOT NULL AND coalesce(_no, false)))
+"""))
+def q_resolve_revisions_strict(spark, sf_dir):
+    r = revisions.resolve_revisions_strict(has_note(spark, sf_dir))
+    return r.select("crp_cd", "rpt_nm", "rcp_no", "rcp_dt", "dic_cls")
+
+
+@register("find_duplicate_keys", with_views(["filings"], """
+SELECT crp_cd, rpt_nm, count(*) AS n_rows FROM filings GROUP BY crp_cd, rpt_nm HAVING count(*) > 1"""))
+def q_find_duplicate_keys(spark, sf_dir):
+    return revisions.find_duplicate_keys(A.filings(spark, sf_dir), ["crp_cd", "rpt_nm"])
+
+
+@register("same_day_last", with_views(["filings"], """
+SELECT crp_cd, rpt_nm, rcp_dt, rcp_no FROM (
+  SELECT crp_cd, rpt_nm, rcp_dt, rcp_no,
+         row_number() OVER (PARTITION BY crp_cd, rpt_nm, rcp_dt ORDER BY rcp_no DESC) AS rn FROM filings
+) WHERE rn = 1"""))
+def q_same_day_last(spark, sf_dir):
+    f = A.filings(spark, sf_dir).select("crp_cd", "rpt_nm", "rcp_dt", "rcp_no")
+    return revisions.same_day_last(f)
+
+
+# ---------------------------------------------------------------- cleaning (C)
+PERIOD_YEARS = range(1996, 2001)
+
+
+@register("filter_period_names", with_views(["filings"], """
+SELECT rcp_no, rpt_nm FROM filings WHERE regexp_matches(rpt_nm, '1996|1997|1998|1999|2000')"""))
+def q_filter_period_names(spark, sf_dir):
+    return clean.filter_period_names(A.filings(spark, sf_dir), PERIOD_YEARS).select("rcp_no", "rpt_nm")
+
+
+@register("distinct_codes", with_views(["filings"], "SELECT DISTINCT crp_cd FROM filings"))
+def q_distinct_codes(spark, sf_dir):
+    return clean.distinct_codes(A.filings(spark, sf_dir))
+
+
+@register("exclude_industry_prefixes", with_views(["filings", "company_industry"], """
+SELECT f.rcp_no, f.crp_cd, i.ind_cd FROM filings f JOIN company_industry i ON f.crp_cd = i.crp_cd
+WHERE NOT coalesce(starts_with(i.ind_cd, '64') OR starts_with(i.ind_cd, '65') OR starts_with(i.ind_cd, '66'), false)"""))
+def q_exclude_industry_prefixes(spark, sf_dir):
+    out = clean.exclude_industry_prefixes(A.filings(spark, sf_dir), A.company_industry(spark, sf_dir))
+    assert "acc_crp" not in out.columns
+    return out.select("rcp_no", "crp_cd", "ind_cd")
+
+
+@register("split_missing_notes", with_views(["filings"], """
+SELECT rcp_no, CASE WHEN foot_note IS NULL OR foot_note = 'NA' THEN 'no_note' ELSE 'has_note' END AS part FROM filings"""))
+def q_split_missing_notes(spark, sf_dir):
+    no_note, with_note = clean.split_missing_notes(A.filings(spark, sf_dir))
+    return (no_note.select("rcp_no", F.lit("no_note").alias("part"))
+            .unionByName(with_note.select("rcp_no", F.lit("has_note").alias("part"))))
+
+
+@register("originals_only", with_views(["filings"], "SELECT rcp_no, crp_cd, rpt_nm FROM filings WHERE dic_cls = 'NA'"))
+def q_originals_only(spark, sf_dir):
+    return clean.originals_only(A.filings(spark, sf_dir)).select("rcp_no", "crp_cd", "rpt_nm")
+
+
+@register("sort_filings", with_views(["filings"], "SELECT crp_cd, rpt_nm, rcp_dt, rcp_no FROM filings ORDER BY 1, 2, 3, 4"))
+def q_sort_filings(spark, sf_dir):
+    return clean.sort_filings(A.filings(spark, sf_dir).select("crp_cd", "rpt_nm", "rcp_dt", "rcp_no"))
+
+
+@register("take_first_n", with_views(["filings"], "SELECT rcp_no, crp_cd FROM filings ORDER BY rcp_no LIMIT 100"))
+def q_take_first_n(spark, sf_dir):
+    return clean.take_first_n(A.filings(spark, sf_dir).select("rcp_no", "crp_cd"), 100, ["rcp_no"])
+
+
+@register("drop_columns", with_views(["filings"], """
+SELECT crp_cls, crp_nm, crp_cd, rpt_nm, rcp_no, dic_cls, dcm_no, col_dcm_no, acc_crp, rcp_dt FROM filings"""))
+def q_drop_columns(spark, sf_dir):
+    return clean.drop_columns(A.filings(spark, sf_dir), ["foot_note", "consolidated_foot_note"])
+
+
+@register("prefer_consolidated", with_views(["resolved"], """
+WITH o AS (SELECT * FROM has_note WHERE dic_cls = 'NA')
+SELECT rcp_no, 'originals_separate' AS variant, md5(foot_note) AS note_md5, false AS has_consolidated_col FROM o
+UNION ALL SELECT rcp_no, 'revised_separate', md5(foot_note), false FROM resolved
+UNION ALL SELECT rcp_no, 'originals_consolidated', md5(coalesce(nullif(consolidated_foot_note, 'NA'), foot_note)), false FROM o
+UNION ALL SELECT rcp_no, 'revised_consolidated', md5(coalesce(nullif(consolidated_foot_note, 'NA'), foot_note)), true FROM resolved"""))
+def q_prefer_consolidated(spark, sf_dir):
+    hn = has_note(spark, sf_dir)
+    variants = clean.note_variants(clean.originals_only(hn), revisions.resolve_revisions(hn))
+    out = None
+    for name, df in variants.items():
+        part = df.select("rcp_no", F.lit(name).alias("variant"), F.md5("foot_note").alias("note_md5"),
+                         F.lit("consolidated_foot_note" in df.columns).alias("has_consolidated_col"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("set_difference", with_views(["filings", "valid_notes"], """
+SELECT rcp_no FROM filings WHERE rcp_no NOT IN (SELECT rcp_no FROM valid_notes)"""))
+def q_set_difference(spark, sf_dir):
+    return clean.set_difference(A.filings(spark, sf_dir).select("rcp_no"), valid_notes(spark, sf_dir), ["rcp_no"])
+
+
+@register("symmetric_difference", with_views(["filings"], """
+WITH a AS (SELECT crp_cd, rpt_nm FROM filings WHERE crp_cls = 'Y'),
+     b AS (SELECT crp_cd, rpt_nm FROM filings WHERE dic_cls <> 'NA')
+SELECT crp_cd, rpt_nm FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY crp_cd, rpt_nm HAVING count(*) = 1"""))
+def q_symmetric_difference(spark, sf_dir):
+    f = A.filings(spark, sf_dir)
+    a = f.filter(F.col("crp_cls") == "Y").select("crp_cd", "rpt_nm")
+    b = f.filter(F.col("dic_cls") != "NA").select("crp_cd", "rpt_nm")
+    return clean.symmetric_difference(a, b)
+
+
+@register("union_frames", with_views(["filings"], """
+SELECT crp_cd, rcp_no, rpt_nm FROM filings WHERE crp_cls = 'Y'
+UNION ALL SELECT crp_cd, rcp_no, rpt_nm FROM filings WHERE crp_cls = 'K'"""))
+def q_union_frames(spark, sf_dir):
+    f = A.filings(spark, sf_dir)
+    main = f.filter(F.col("crp_cls") == "Y").select("crp_cd", "rcp_no", "rpt_nm", "dcm_no")
+    other = f.filter(F.col("crp_cls") == "K").select("rcp_no", "crp_cd", "rpt_nm", "acc_crp")
+    return clean.union_frames([main, other], common_only=True)
+
+
+@register("union_all_columns", with_views(["filings"], """
+SELECT crp_cd, rcp_no, dcm_no, NULL::VARCHAR AS acc_crp FROM filings WHERE crp_cls = 'Y'
+UNION ALL SELECT crp_cd, rcp_no, NULL::VARCHAR, acc_crp FROM filings WHERE crp_cls = 'K'"""))
+def q_union_all_columns(spark, sf_dir):
+    f = A.filings(spark, sf_dir)
+    main = f.filter(F.col("crp_cls") == "Y").select("crp_cd", "rcp_no", "dcm_no")
+    other = f.filter(F.col("crp_cls") == "K").select("rcp_no", "crp_cd", "acc_crp")
+    return clean.union_frames([main, other], common_only=False)
+
+
+# ---------------------------------------------------------------- periods (D)
+_CY = r"TRY_CAST(regexp_extract(rpt_nm, '\((\d{4})\.(\d{1,2})', 1) AS INTEGER)"
+_CM = r"TRY_CAST(regexp_extract(rpt_nm, '\((\d{4})\.(\d{1,2})', 2) AS INTEGER)"
+
+
+@register("closing_period", with_views(["filings"], f"""
+SELECT rcp_no, CAST({_CY} AS BIGINT) AS closing_year, CAST({_CM} AS BIGINT) AS closing_month FROM filings"""))
+def q_closing_period(spark, sf_dir):
+    f = A.filings(spark, sf_dir)
+    return f.select("rcp_no", P.closing_year("rpt_nm").cast("long").alias("closing_year"),
+                    P.closing_month("rpt_nm").cast("long").alias("closing_month"))
+
+
+@register("correction_deadline", with_views(["filings"], f"""
+SELECT rcp_no, CAST(last_day(make_date({_CY}, {_CM}, 1)) + INTERVAL 3 MONTH AS DATE) AS deadline FROM filings"""))
+def q_correction_deadline(spark, sf_dir):
+    f = A.filings(spark, sf_dir)
+    return f.select("rcp_no", P.correction_deadline(P.closing_year("rpt_nm"), P.closing_month("rpt_nm")).alias("deadline"))
+
+
+@register("correction_deadline_first", with_views(["filings"], f"""
+SELECT rcp_no, CAST(make_date({_CY}, {_CM}, 1) + INTERVAL 3 MONTH AS DATE) AS deadline FROM filings"""))
+def q_correction_deadline_first(spark, sf_dir):
+    f = A.filings(spark, sf_dir)
+    return f.select("rcp_no", P.correction_deadline_first(P.closing_year("rpt_nm"), P.closing_month("rpt_nm")).alias("deadline"))
+
+
+@register("filing_date", with_views(["filings"], """
+SELECT rcp_no, CAST(try_strptime(rcp_dt, '%Y.%m.%d') AS DATE) AS filed FROM filings"""))
+def q_filing_date(spark, sf_dir):
+    return A.filings(spark, sf_dir).select("rcp_no", P.filing_date("rcp_dt").alias("filed"))
+
+
+_QUARTER_SQL = f"""CASE WHEN regexp_extract(rpt_nm, '^\\s*(\\S+)', 1) = '반기보고서' AND {_CM} = 6 THEN 2
+     WHEN regexp_extract(rpt_nm, '^\\s*(\\S+)', 1) = '사업보고서' AND {_CM} = 12 THEN 4
+     WHEN regexp_extract(rpt_nm, '^\\s*(\\S+)', 1) = '분기보고서' AND {_CM} = 3 THEN 1
+     WHEN regexp_extract(rpt_nm, '^\\s*(\\S+)', 1) = '분기보고서' AND {_CM} = 9 THEN 3 END"""
+
+
+@register("fiscal_quarter", with_views(["filings"], f"""
+SELECT rcp_no, CAST({_QUARTER_SQL} AS BIGINT) AS quarter FROM filings"""))
+def q_fiscal_quarter(spark, sf_dir):
+    f = A.filings(spark, sf_dir)
+    return f.select("rcp_no", P.fiscal_quarter(P.report_type("rpt_nm"), P.closing_month("rpt_nm")).cast("long").alias("quarter"))
+
+
+@register("prior_quarter_report_name", with_views(["valid_notes"], """
+SELECT rcp_no,
+  CASE quarter WHEN 1 THEN '사업보고서' WHEN 2 THEN '분기보고서' WHEN 3 THEN '반기보고서' ELSE '분기보고서' END
+  || ' (' || CAST(CASE WHEN quarter = 1 THEN cy - 1 ELSE cy END AS VARCHAR) || '.'
+  || lpad(CAST(CASE WHEN quarter = 1 THEN 12 ELSE (quarter - 1) * 3 END AS VARCHAR), 2, '0') || ')' AS prior_name
+FROM valid_notes"""))
+def q_prior_quarter_report_name(spark, sf_dir):
+    v = valid_notes(spark, sf_dir)
+    return v.select("rcp_no", P.prior_quarter_report_name(F.col("cy"), F.col("quarter") * 3).alias("prior_name"))
+
+
+@register("prior_year_report_name", with_views(["valid_notes"], """
+SELECT rcp_no, regexp_extract(rpt_nm, '^\\s*(\\S+)', 1) || ' (' || CAST(cy - 1 AS VARCHAR) || '.'
+  || lpad(CAST(quarter * 3 AS VARCHAR), 2, '0') || ')' AS prior_name FROM valid_notes"""))
+def q_prior_year_report_name(spark, sf_dir):
+    v = valid_notes(spark, sf_dir)
+    return v.select("rcp_no", P.prior_year_report_name(P.report_type("rpt_nm"), F.col("cy"), F.col("quarter") * 3).alias("prior_name"))
+
+
+@register("symbol_key", with_views(["filings"], "SELECT DISTINCT crp_cd, 'A' || crp_cd AS symbol FROM filings"))
+def q_symbol_key(spark, sf_dir):
+    return A.filings(spark, sf_dir).select("crp_cd", P.symbol_key("crp_cd").alias("symbol")).distinct()
+
+
+@register("calendar_parts", """
+SELECT DISTINCT CAST(last_day(CAST(o_orderdate AS DATE)) AS DATE) AS d,
+       CAST(month(o_orderdate) AS BIGINT) AS month, CAST(year(o_orderdate) AS BIGINT) AS year,
+       CAST(CASE WHEN month(o_orderdate) % 3 = 0 THEN month(o_orderdate) // 3 END AS BIGINT) AS quarter
+FROM orders""")
+def q_calendar_parts(spark, sf_dir):
+    from ..sources.tables import table
+    d = table(spark, sf_dir, "orders").select(F.last_day(F.to_date("o_orderdate")).alias("d")).distinct()
+    m, y, q = P.calendar_parts("d")
+    return d.select("d", m.cast("long").alias("month"), y.cast("long").alias("year"), q.cast("long").alias("quarter"))
+
+
+# ---------------------------------------------------------------- joins on filings (E)
+@register("natural_join", with_views(["filings", "company_industry"], """
+SELECT f.rcp_no, f.crp_cd, i.ind_cd FROM filings f JOIN company_industry i USING (crp_cd)"""))
+def q_natural_join(spark, sf_dir):
+    f = A.filings(spark, sf_dir).select("rcp_no", "crp_cd")
+    return match.natural_join(f, A.company_industry(spark, sf_dir))
+
+
+@register("match_prior_filings", NOTE_CHANGE_SQL.split("pairs AS (")[0].rstrip().rstrip(",") + """
+SELECT rcp_no, prior_q, prior_y FROM linked""")
+def q_match_prior_filings(spark, sf_dir):
+    v = valid_notes(spark, sf_dir)
+    return match.match_prior_filings(v.select("crp_cd", "period", "rcp_dt", "rcp_no")).select("rcp_no", "prior_q", "prior_y")
+
+
+@register("exclude_ids", with_views(["resolved", "valid_notes"], """
+SELECT rcp_no FROM resolved WHERE rcp_no NOT IN (
+  SELECT rcp_no FROM resolved WHERE NOT EXISTS (SELECT 1 FROM valid_notes v WHERE v.rcp_no = resolved.rcp_no))"""))
+def q_exclude_ids(spark, sf_dir):
+    r = resolved(spark, sf_dir)
+    nonstandard = with_quarter(r).filter(F.col("quarter").isNull()).select("rcp_no")
+    return match.exclude_ids(r.select("rcp_no"), nonstandard, ["rcp_no"])
+
+
+@register("prefix_range_join", with_views(["company_industry", "sector_ranges"], """
+SELECT crp_cd, ind_cd, sector, sector2, range FROM (
+  SELECT i.crp_cd, i.ind_cd, s.sector, s.sector2, s.range,
+         row_number() OVER (PARTITION BY i.crp_cd ORDER BY s.pos DESC) AS rn
+  FROM company_industry i LEFT JOIN sector_ranges s ON starts_with(i.ind_cd, s.range)
+) WHERE rn = 1"""))
+def q_prefix_range_join(spark, sf_dir):
+    ci = A.company_industry(spark, sf_dir)
+    return match.prefix_range_join(ci, A.sector_ranges(spark), key=["crp_cd"])
+
+
+@register("split_by_sector", with_views(["company_industry", "sector_ranges"], """
+SELECT i.crp_cd, i.ind_cd, s.sector, s.sector2, s.range, s.pos
+FROM company_industry i JOIN sector_ranges s ON starts_with(i.ind_cd, s.range)"""))
+def q_split_by_sector(spark, sf_dir):
+    ci = A.company_industry(spark, sf_dir)
+    return match.prefix_range_join(ci, A.sector_ranges(spark), key=["crp_cd"], on_overlap="all")
