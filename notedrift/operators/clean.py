@@ -214,3 +214,16 @@ def first_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """Helper: first ``n`` rows per key in ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def hconcat_tables(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Side-by-side concat of tables that share ``keys``, aligned to
+    the first table (keyed left joins instead of row positions); a column name
+    that repeats keeps its first occurrence."""
+    out = frames[0]
+    seen = set(out.columns)
+    for f in frames[1:]:
+        new = [c for c in f.columns if c not in seen]
+        seen.update(new)
+        out = out.join(f.select(*keys, *new), list(keys), "left")
+    return out

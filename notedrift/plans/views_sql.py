@@ -8,9 +8,10 @@ the driver's 14 tables.
 
 from __future__ import annotations
 
-from ..sources.adapters import MAIN_MARKET_SEGMENTS, SECTOR_RANGES
+from ..sources.adapters import MAIN_MARKET_SEGMENTS, SECTOR_RANGES, quarter_end_columns
 
 _SEGMENTS = ", ".join(f"'{s}'" for s in MAIN_MARKET_SEGMENTS)
+_WIDE = ",\n    ".join(f"max(CASE WHEN _d = '{c}' THEN revenue END) AS \"{c}\"" for c in quarter_end_columns())
 _SECTORS = ", ".join(f"({p}, '{a}', '{b}', '{r}')" for p, a, b, r in SECTOR_RANGES)
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -101,6 +102,36 @@ valid_notes AS (
                 WHEN _rt = '분기보고서' AND _cm = 3 THEN 1 WHEN _rt = '분기보고서' AND _cm = 9 THEN 3 END AS quarter
     FROM resolved
   ) WHERE quarter IS NOT NULL
+)"""),
+    "panel_wide": (("panel",), f"""
+panel_wide AS (
+  SELECT symbol,
+    {_WIDE}
+  FROM (SELECT *, strftime(last_day(make_date(year, quarter * 3, 1)), '%Y-%m-%d') AS _d FROM panel)
+  GROUP BY symbol
+)"""),
+    "panel_basis": (("panel",), """
+panel_basis AS (
+  SELECT symbol, year, quarter, period,
+    CASE WHEN n_lines % 4 = 0 THEN NULL WHEN n_lines % 5 = 0 THEN 'n/a' ELSE CAST(CAST(floor(qty) AS BIGINT) AS VARCHAR) END AS "M-qty",
+    CASE WHEN n_lines % 3 = 0 THEN NULL ELSE CAST(CAST(floor(qty) AS BIGINT) + 1 AS VARCHAR) END AS "3-qty",
+    CASE WHEN n_lines % 2 = 0 THEN NULL ELSE CAST(CAST(floor(qty) AS BIGINT) + 2 AS VARCHAR) END AS "6-qty",
+    CASE WHEN n_lines % 6 = 0 THEN NULL ELSE CAST(CAST(floor(revenue) AS BIGINT) AS VARCHAR) END AS "M-revenue",
+    CASE WHEN n_lines % 5 = 0 THEN '-' ELSE CAST(CAST(floor(revenue) AS BIGINT) + 1 AS VARCHAR) END AS "3-revenue",
+    CASE WHEN n_lines % 4 = 0 THEN NULL ELSE CAST(CAST(floor(revenue) AS BIGINT) + 2 AS VARCHAR) END AS "6-revenue"
+  FROM panel
+)"""),
+    "preds_binary": ((), """
+preds_binary AS (
+  SELECT doc_id AS id, CAST(quality AS BIGINT) AS label,
+         CAST(CASE WHEN (doc_id * 7919 + 13) % 10 < 7 THEN quality ELSE 1 - quality END AS BIGINT) AS prediction
+  FROM labels
+)"""),
+    "preds_multiclass": ((), """
+preds_multiclass AS (
+  SELECT vec_id AS id, CAST(label AS BIGINT) AS label,
+         CAST(CASE WHEN (vec_id * 7919 + 13) % 10 < 6 THEN label ELSE (label + vec_id) % 10 END AS BIGINT) AS prediction
+  FROM embeddings
 )"""),
     "scores": ((), """
 scores AS (SELECT event_id AS id, event_type AS sample, user_id AS entity, value FROM events)"""),

@@ -131,3 +131,52 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("sample"),
                     F.col("user_id").alias("entity"), F.col("value"))
+
+
+def quarter_end_columns(first_year: int = 1995, last_year: int = 2001) -> list[str]:
+    """Quarter-end date headers 'yyyy-mm-dd' of the wide calendar sheet (rule-built)."""
+    ends = {3: 31, 6: 30, 9: 30, 12: 31}
+    return [f"{y}-{m:02d}-{ends[m]}" for y in range(first_year, last_year + 1) for m in (3, 6, 9, 12)]
+
+
+def panel_wide(spark: SparkSession, sf_dir: str, value: str = "revenue") -> DataFrame:
+    """Wide calendar sheet: one row per company, one column per quarter-end
+    date (the panel pivoted with an explicit, rule-built column list)."""
+    p = panel(spark, sf_dir)
+    cols = quarter_end_columns()
+    key = F.date_format(F.last_day(F.make_date(F.col("year"), F.col("quarter") * 3, F.lit(1))), "yyyy-MM-dd")
+    return (p.withColumn("_d", key).groupBy("symbol").pivot("_d", cols).agg(F.first(value)))
+
+
+def panel_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheet with the same items on three bases as text cells: main 'M-', separate
+    '3-' and consolidated '6-' columns, with planted blanks and non-numeric text."""
+    p = panel(spark, sf_dir)
+    nl = F.col("n_lines")
+    q = F.floor("qty").cast("long")
+    r = F.floor("revenue").cast("long")
+    return p.select(
+        "symbol", "year", "quarter", "period",
+        F.when(nl % 4 == 0, F.lit(None)).when(nl % 5 == 0, F.lit("n/a")).otherwise(q.cast("string")).alias("M-qty"),
+        F.when(nl % 3 == 0, F.lit(None)).otherwise((q + 1).cast("string")).alias("3-qty"),
+        F.when(nl % 2 == 0, F.lit(None)).otherwise((q + 2).cast("string")).alias("6-qty"),
+        F.when(nl % 6 == 0, F.lit(None)).otherwise(r.cast("string")).alias("M-revenue"),
+        F.when(nl % 5 == 0, F.lit("-")).otherwise((r + 1).cast("string")).alias("3-revenue"),
+        F.when(nl % 4 == 0, F.lit(None)).otherwise((r + 2).cast("string")).alias("6-revenue"),
+    )
+
+
+def preds_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label vs a deterministic pseudo-prediction over ``labels`` (quality)."""
+    lb = table(spark, sf_dir, "labels")
+    k = F.col("doc_id")
+    pred = F.when((k * 7919 + 13) % 10 < 7, F.col("quality")).otherwise(F.lit(1) - F.col("quality"))
+    return lb.select(F.col("doc_id").alias("id"), F.col("quality").cast("long").alias("label"), pred.cast("long").alias("prediction"))
+
+
+def preds_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10-class label of ``embeddings`` vs a deterministic pseudo-prediction."""
+    e = table(spark, sf_dir, "embeddings")
+    k = F.col("vec_id")
+    pred = F.when((k * 7919 + 13) % 10 < 6, F.col("label")).otherwise((F.col("label") + k) % 10)
+    return e.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), pred.cast("long").alias("prediction"))
