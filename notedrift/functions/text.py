@@ -114,9 +114,13 @@ def ngrams(tokens, n: int = 2) -> Column:
     t = _c(tokens)
     if n == 1:
         return t
-    idx = F.sequence(F.lit(1), F.size(t) - n + 1)
-    return F.when(F.size(t) >= n, F.transform(
-        idx, lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    # zip shifted slices: the token array is only referenced outside the
+    # lambdas, so it is evaluated n times per row, not once per n-gram
+    m = F.greatest(F.size(t) - n + 1, F.lit(0))
+    g = F.slice(t, 1, m)
+    for j in range(1, n):
+        g = F.zip_with(g, F.slice(t, j + 1, m), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(t) >= n, g).otherwise(F.array().cast("array<string>"))
 
 
 def uni_and_bigrams(tokens) -> Column:

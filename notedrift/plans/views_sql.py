@@ -8,7 +8,7 @@ the driver's 14 tables.
 
 from __future__ import annotations
 
-from ..sources.adapters import MAIN_MARKET_SEGMENTS, SECTOR_RANGES, quarter_end_columns
+from ..sources.adapters import MAIN_MARKET_SEGMENTS, MAIN_TITLES, OPTION_TITLES, SECTOR_RANGES, quarter_end_columns
 
 _SEGMENTS = ", ".join(f"'{s}'" for s in MAIN_MARKET_SEGMENTS)
 _WIDE = ",\n    ".join(f"max(CASE WHEN _d = '{c}' THEN revenue END) AS \"{c}\"" for c in quarter_end_columns())
@@ -133,6 +133,21 @@ preds_multiclass AS (
          CAST(CASE WHEN (vec_id * 7919 + 13) % 10 < 6 THEN label ELSE (label + vec_id) % 10 END AS BIGINT) AS prediction
   FROM embeddings
 )"""),
+    "attachment_options": (("filings",), f"""
+attachment_options AS (
+  SELECT o.rcp_no, o.pos, o.opt_date, o.title, o.main_title, o.value,
+         CAST(try_strptime(f.rcp_dt, '%Y.%m.%d') AS DATE) AS filed,
+         regexp_extract(f.rpt_nm, '^\\s*(\\S+)', 1) AS rtype
+  FROM (SELECT lpad(CAST(l_orderkey AS VARCHAR), 14, '0') AS rcp_no, CAST(l_linenumber AS INTEGER) AS pos,
+               CAST(l_shipdate AS DATE) AS opt_date,
+               [{", ".join(repr(t) for t in OPTION_TITLES)}][(l_partkey + l_linenumber) % 5 + 1] AS title,
+               [{", ".join(repr(t) for t in MAIN_TITLES)}][l_linenumber % 3 + 1] AS main_title,
+               CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS value
+        FROM lineitem) o
+  JOIN filings f ON f.rcp_no = o.rcp_no
+)"""),
+    "sections": ((), """
+sections AS (SELECT conv_id AS rcp_no, turn AS pos, role AS title, text, true AS is_leaf FROM conversations)"""),
     "scores": ((), """
 scores AS (SELECT event_id AS id, event_type AS sample, user_id AS entity, value FROM events)"""),
 }

@@ -180,3 +180,37 @@ def preds_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("vec_id")
     pred = F.when((k * 7919 + 13) % 10 < 6, F.col("label")).otherwise((F.col("label") + k) % 10)
     return e.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), pred.cast("long").alias("prediction"))
+
+
+# Attachment titles used by the option adapter (one per kind and
+# an unlisted one), and the main-document report types.
+OPTION_TITLES = ("감사보고서", "[정정] 감사보고서", "연결감사보고서", "[정정] 연결감사보고서", "기타보고서")
+MAIN_TITLES = ("사업보고서", "반기보고서", "분기보고서")
+
+
+def attachment_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Option lists per filing: the filing's order lines are its options
+    (date = ship date, title by (partkey + linenumber) % 5, value = line id),
+    with the filing date and report type of the filing."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    f = filings(spark, sf_dir).select("rcp_no", "rcp_dt", "rpt_nm")
+    titles = F.array(*[F.lit(t) for t in OPTION_TITLES])
+    mains = F.array(*[F.lit(t) for t in MAIN_TITLES])
+    o = li.select(
+        F.lpad(F.col("l_orderkey").cast("string"), 14, "0").alias("rcp_no"),
+        F.col("l_linenumber").cast("int").alias("pos"),
+        F.to_date("l_shipdate").alias("opt_date"),
+        F.get(titles, ((F.col("l_partkey") + F.col("l_linenumber")) % 5).cast("int")).alias("title"),
+        F.get(mains, (F.col("l_linenumber") % 3).cast("int")).alias("main_title"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("value"))
+    return (o.join(f, "rcp_no", "inner")
+             .withColumn("filed", P.filing_date("rcp_dt"))
+             .withColumn("rtype", P.report_type("rpt_nm"))
+             .drop("rcp_dt", "rpt_nm"))
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document sections: conversation = filing, turn = position, role = title."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("rcp_no"), F.col("turn").alias("pos"), F.col("role").alias("title"),
+                    F.col("text"), F.lit(True).alias("is_leaf"))
