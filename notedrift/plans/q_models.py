@@ -1,3 +1,259 @@
-"""Queries: q_models."""
+"""Queries of the feature, model and metric layer."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import features as FT
+from ..operators import match
+from pyspark.ml.functions import vector_to_array
+from ..operators import metrics as M
+from ..operators import models as MD
+from ..sources import adapters as A
+from ..sources.tables import table
+from .q_filings import r6
+from .registry import register
+from .views_sql import with_views
+
+N_EMB = 64  # embedding width of the driver's table
+
+
+def _ml(spark, sf_dir):
+    return A.ml_frame(spark, sf_dir)
+
+
+def _vec(spark, sf_dir):
+    return FT.assemble_features(_ml(spark, sf_dir), ["emb"], "features")
+
+
+# ---------------------------------------------------------------- exact feature operators
+@register("minmax_scale", with_views(["ml_frame"], """
+SELECT id, round(CASE WHEN max(x1) OVER () = min(x1) OVER () THEN 0.0 ELSE (x1 - min(x1) OVER ()) / (max(x1) OVER () - min(x1) OVER ()) END, 6) AS x1_scaled,
+       round(CASE WHEN max(x2) OVER () = min(x2) OVER () THEN 0.0 ELSE (x2 - min(x2) OVER ()) / (max(x2) OVER () - min(x2) OVER ()) END, 6) AS x2_scaled
+FROM ml_frame"""))
+def q_minmax_scale(spark, sf_dir):
+    out = FT.minmax_scale(_ml(spark, sf_dir), ["x1", "x2"])
+    return out.select("id", r6("x1_scaled").alias("x1_scaled"), r6("x2_scaled").alias("x2_scaled"))
+
+
+@register("standard_scale", with_views(["ml_frame"], """
+SELECT id, round((x1 - avg(x1) OVER ()) / stddev_pop(x1) OVER (), 6) AS x1_std,
+       round((x2 - avg(x2) OVER ()) / stddev_pop(x2) OVER (), 6) AS x2_std FROM ml_frame"""))
+def q_standard_scale(spark, sf_dir):
+    out = FT.standard_scale(_ml(spark, sf_dir), ["x1", "x2"])
+    return out.select("id", r6("x1_std").alias("x1_std"), r6("x2_std").alias("x2_std"))
+
+
+@register("interactions", with_views(["ml_frame"], "SELECT id, round(x1 * x2, 6) AS x1xx2, round(x1 * x3, 6) AS x1xx3 FROM ml_frame"))
+def q_interactions(spark, sf_dir):
+    out = FT.interactions(_ml(spark, sf_dir), [("x1", "x2"), ("x1", "x3")])
+    return out.select("id", r6("x1xx2").alias("x1xx2"), r6("x1xx3").alias("x1xx3"))
+
+
+@register("select_percentile", with_views(["ml_frame"], """
+WITH x AS (SELECT CAST(label AS DOUBLE) AS y, unnest(emb) AS x, unnest(range(0, len(emb))) AS feature FROM ml_frame),
+g AS (SELECT feature, corr(CAST(x AS DOUBLE), y) AS r, count(*) AS n FROM x GROUP BY feature),
+s AS (SELECT feature, r * r / (1 - r * r) * (n - 2) AS f FROM g)
+SELECT CAST(feature AS INTEGER) AS feature, round(f, 6) AS f_score,
+       row_number() OVER (ORDER BY f DESC, feature) <= 3 AS selected FROM s"""))
+def q_select_percentile(spark, sf_dir):
+    sc = FT.f_regression_scores(_ml(spark, sf_dir), "emb", "label")
+    out = FT.select_percentile(sc, 5.0)
+    return out.select(F.col("feature").cast("int"), r6("f_score").alias("f_score"), "selected")
+
+
+@register("stratified_folds", with_views(["ml_frame"], """
+SELECT id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '|0'), id) - 1) % 5 AS INTEGER) AS fold
+FROM ml_frame"""))
+def q_stratified_folds(spark, sf_dir):
+    return FT.stratified_folds(_ml(spark, sf_dir).select("id", "label"), "id", "label", 5, 0)
+
+
+@register("train_test_split", with_views(["ml_frame"], """
+SELECT id, substr(md5(CAST(id AS VARCHAR) || '|0'), 1, 8) < '40000000' AS is_test FROM ml_frame"""))
+def q_train_test_split(spark, sf_dir):
+    return FT.train_test_split(_ml(spark, sf_dir).select("id"), "id", 0.25, 0)
+
+
+@register("placebo_noise", with_views(["ml_frame"], """
+SELECT id, round(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '|0'), 1, 8)) AS BIGINT) / 4294967296.0, 6) AS x1 FROM ml_frame"""))
+def q_placebo_noise(spark, sf_dir):
+    out = FT.placebo_noise(_ml(spark, sf_dir).select("id", "x1"), "id", ["x1"], seed=0)
+    return out.select("id", r6("x1").alias("x1"))
+
+
+@register("placebo_corpus", """
+WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS position FROM embeddings),
+     b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS position FROM documents)
+SELECT CAST(a.position AS BIGINT) AS position, a.vec_id, b.doc_id FROM a JOIN b USING (position)""")
+def q_placebo_corpus(spark, sf_dir):
+    a = table(spark, sf_dir, "embeddings").select("vec_id")
+    b = table(spark, sf_dir, "documents").select("doc_id")
+    return FT.align_by_position(a, "vec_id", b, "doc_id").select("position", "vec_id", "doc_id")
+
+
+# ---------------------------------------------------------------- metrics
+_CM_SQL = """
+WITH p AS (SELECT 'binary' AS dataset, label, prediction FROM preds_binary
+           UNION ALL SELECT 'multiclass', label, prediction FROM preds_multiclass),
+cm AS (SELECT dataset, label, prediction, count(*) AS n FROM p GROUP BY ALL)"""
+
+
+@register("confusion_matrix", with_views(["preds_binary", "preds_multiclass"], _CM_SQL + """
+SELECT dataset, label, prediction, CAST(n AS BIGINT) AS n FROM cm"""))
+def q_confusion_matrix(spark, sf_dir):
+    p = (A.preds_binary(spark, sf_dir).withColumn("dataset", F.lit("binary"))
+         .unionByName(A.preds_multiclass(spark, sf_dir).withColumn("dataset", F.lit("multiclass"))))
+    return M.confusion(p, by=["dataset"])
+
+
+@register("classification_metrics", with_views(["preds_binary", "preds_multiclass"], _CM_SQL + """,
+cls AS (SELECT dataset, label AS c FROM cm UNION SELECT dataset, prediction FROM cm),
+per AS (
+  SELECT cls.dataset, cls.c,
+         coalesce((SELECT sum(n) FROM cm WHERE cm.dataset = cls.dataset AND cm.label = cls.c AND cm.prediction = cls.c), 0) AS tp,
+         coalesce((SELECT sum(n) FROM cm WHERE cm.dataset = cls.dataset AND cm.label = cls.c), 0) AS n_true,
+         coalesce((SELECT sum(n) FROM cm WHERE cm.dataset = cls.dataset AND cm.prediction = cls.c), 0) AS n_pred
+  FROM cls
+)
+SELECT dataset, round(sum(tp) / sum(n_true), 6) AS accuracy,
+       round(avg(CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (n_true + n_pred) END), 6) AS f1_macro
+FROM per GROUP BY dataset"""))
+def q_classification_metrics(spark, sf_dir):
+    p = (A.preds_binary(spark, sf_dir).withColumn("dataset", F.lit("binary"))
+         .unionByName(A.preds_multiclass(spark, sf_dir).withColumn("dataset", F.lit("multiclass"))))
+    m = M.classification_metrics(p, by=["dataset"])
+    return m.select("dataset", r6("accuracy").alias("accuracy"), r6("f1_macro").alias("f1_macro"))
+
+
+@register("rmse", with_views(["preds_multiclass"], """
+SELECT round(sqrt(avg((CAST(prediction AS DOUBLE) - label) ^ 2)), 6) AS rmse FROM preds_multiclass"""))
+def q_rmse(spark, sf_dir):
+    return M.rmse(A.preds_multiclass(spark, sf_dir)).select(r6("rmse").alias("rmse"))
+
+
+@register("ols_fit", with_views(["panel"], """
+SELECT round(regr_slope(avg_price, qty), 6) AS slope, round(regr_intercept(avg_price, qty), 6) AS intercept,
+       round(regr_r2(avg_price, qty), 6) AS r2, CAST(regr_count(avg_price, qty) AS BIGINT) AS n FROM panel"""))
+def q_ols_fit(spark, sf_dir):
+    p = A.panel(spark, sf_dir)
+    return p.agg(r6(F.regr_slope("avg_price", "qty")).alias("slope"), r6(F.regr_intercept("avg_price", "qty")).alias("intercept"),
+                 r6(F.regr_r2("avg_price", "qty")).alias("r2"), F.regr_count("avg_price", "qty").cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- models (rows-only)
+@register("assemble_features")
+def q_assemble_features(spark, sf_dir):
+    """Text-side vector (embedding) and numeric columns attached by key."""
+    ml = _ml(spark, sf_dir)
+    num = ml.select("id", "x1", "x2")
+    j = match.attach_by_key(ml.select("id", "emb", "label"), num, ["id"])
+    v = FT.assemble_features(j, ["emb", "x1", "x2"])
+    return v.select("id", "label", F.size(vector_to_array("features")).alias("width"))
+
+
+@register("polynomial_features")
+def q_polynomial_features(spark, sf_dir):
+    v = FT.assemble_features(_ml(spark, sf_dir), ["x1", "x2"], "xy")
+    out = MD.polynomial_features(v, "xy", 2)
+    return out.select("id", F.size(vector_to_array("poly")).alias("width"))
+
+
+@register("pca")
+def q_pca(spark, sf_dir):
+    out = MD.pca(_vec(spark, sf_dir), "features", 2)
+    arr = vector_to_array("pca")
+    return out.select("id", arr[0].alias("pc1"), arr[1].alias("pc2"))
+
+
+def _split(spark, sf_dir):
+    v = FT.train_test_split(_vec(spark, sf_dir), "id", 0.2, 0)
+    return v.filter(~F.col("is_test")), v.filter(F.col("is_test"))
+
+
+def _score(pred, name):
+    m = M.classification_metrics(pred.select(F.col("label").cast("long").alias("label"),
+                                             F.col("prediction").cast("long").alias("prediction")))
+    return m.select(F.lit(name).alias("model"), "accuracy", "f1_macro")
+
+
+@register("bagged_rbf_svm")
+def q_bagged_rbf_svm(spark, sf_dir):
+    """5 RBF SVMs on 1/5 bootstraps (random-Fourier approximation), vote."""
+    tr, te = _split(spark, sf_dir)
+    pred = MD.bagged_rbf_svm(tr, te, "emb", N_EMB)
+    return _score(pred, "bagged_rbf_svm")
+
+
+@register("rbf_svm")
+def q_rbf_svm(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    return _score(MD.rbf_svm(tr, te, "emb", N_EMB, gamma=1.0 / N_EMB, c=1.0), "rbf_svm")
+
+
+@register("complement_nb")
+def q_complement_nb(spark, sf_dir):
+    from pyspark.ml.feature import MinMaxScaler
+    # complement NB needs non-negative inputs: the scaler is fitted on all rows,
+    # as the reference does (its scaling precedes the split)
+    v = FT.train_test_split(_vec(spark, sf_dir), "id", 0.2, 0)
+    v = MinMaxScaler(inputCol="features", outputCol="nn").fit(v).transform(v)
+    model = MD.complement_nb("nn").fit(v.filter(~F.col("is_test")))
+    return _score(model.transform(v.filter(F.col("is_test"))), "complement_nb")
+
+
+@register("random_forest")
+def q_random_forest(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    return _score(MD.random_forest().fit(tr).transform(te), "random_forest")
+
+
+@register("logistic")
+def q_logistic(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    return _score(MD.logistic(1.0, 400).fit(tr).transform(te), "logistic")
+
+
+@register("ridge")
+def q_ridge(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    pred = MD.ridge(1.0, 400, label="x1").fit(tr.withColumn("features", F.col("features"))).transform(te)
+    return M.rmse(pred, "x1", "prediction").select(F.lit("ridge").alias("model"), "rmse")
+
+
+@register("ols_summary")
+def q_ols_summary(spark, sf_dir):
+    """Coefficients, standard errors, t and p with a constant."""
+    return MD.ols_summary(A.panel(spark, sf_dir), "avg_price", ["qty", "revenue"])
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    v = FT.stratified_folds(_vec(spark, sf_dir), "id", "label", 5, 0).persist()
+    est = MD.logistic(1.0, 1).setMaxIter(25)
+    cv = MD.grid_search(v, est, {est.regParam: [0.01, 0.1, 1.0]})
+    rows = [(float(p[est.regParam]), float(m)) for p, m in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
+    return spark.createDataFrame(rows, "reg_param DOUBLE, mean_accuracy DOUBLE")
+
+
+@register("nested_cv")
+def q_nested_cv(spark, sf_dir):
+    est = MD.logistic(1.0, 1).setMaxIter(25)
+    return MD.nested_cv(_vec(spark, sf_dir).persist(), est, {est.regParam: [0.1, 1.0]}, k_outer=3, k_inner=2)
+
+
+@register("repeated_cv")
+def q_repeated_cv(spark, sf_dir):
+    """Complement NB on min-max scaled embeddings, 5 folds x 3 seeds."""
+    from pyspark.ml.feature import MinMaxScaler
+    v = _vec(spark, sf_dir)
+    v = MinMaxScaler(inputCol="features", outputCol="nn").fit(v).transform(v)
+    return MD.repeated_cv(v, lambda: MD.complement_nb("nn"), seeds=range(3))
+
+
+@register("ml_stages")
+def q_ml_stages(spark, sf_dir):
+    """A fitted Pipeline and its stage names."""
+    model = MD.ml_stages(_ml(spark, sf_dir), ["x1", "x2", "x3"])
+    names = [(i, type(s).__name__) for i, s in enumerate(model.stages)]
+    return spark.createDataFrame(names, "stage INT, name STRING")

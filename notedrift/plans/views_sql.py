@@ -148,6 +148,12 @@ attachment_options AS (
 )"""),
     "sections": ((), """
 sections AS (SELECT conv_id AS rcp_no, turn AS pos, role AS title, text, true AS is_leaf FROM conversations)"""),
+    "ml_frame": ((), """
+ml_frame AS (
+  SELECT vec_id AS id, CAST(label % 3 AS BIGINT) AS label, embedding AS emb,
+         CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] AS DOUBLE) AS x2, CAST(embedding[3] AS DOUBLE) AS x3
+  FROM embeddings
+)"""),
     "scores": ((), """
 scores AS (SELECT event_id AS id, event_type AS sample, user_id AS entity, value FROM events)"""),
 }

@@ -214,3 +214,12 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("rcp_no"), F.col("turn").alias("pos"), F.col("role").alias("title"),
                     F.col("text"), F.lit(True).alias("is_leaf"))
+
+
+def ml_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model input: embedding vectors with a 3-class label (label % 3) and the
+    first three coordinates as plain numeric columns."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), (F.col("label") % 3).cast("long").alias("label"),
+                    F.col("embedding").alias("emb"),
+                    *[F.get("embedding", i).cast("double").alias(f"x{i + 1}") for i in range(3)])
