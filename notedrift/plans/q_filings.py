@@ -380,3 +380,24 @@ FROM company_industry i JOIN sector_ranges s ON starts_with(i.ind_cd, s.range)""
 def q_split_by_sector(spark, sf_dir):
     ci = A.company_industry(spark, sf_dir)
     return match.prefix_range_join(ci, A.sector_ranges(spark), key=["crp_cd"], on_overlap="all")
+
+
+# ---------------------------------------------------------------- scans (A)
+@register("read_shards", "SELECT * FROM nation")
+def q_read_shards(spark, sf_dir):
+    from ..sources import io
+    return io.read_shards(spark, sf_dir, "nation")
+
+
+@register("lookup_from_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def q_lookup_from_json(spark, sf_dir):
+    from ..sources import io
+    from ..sources.tables import table
+    return io.lookup_from_json(table(spark, sf_dir, "events"), "event_id", "props", "k")
+
+
+@register("chunk_ids", with_views(["filings"], """
+SELECT rcp_no, CAST((row_number() OVER (ORDER BY rcp_no) - 1) // 5000 AS BIGINT) AS chunk FROM filings"""))
+def q_chunk_ids(spark, sf_dir):
+    from ..sources import io
+    return io.chunk_ids(A.filings(spark, sf_dir).select("rcp_no"), "rcp_no", 5000)
