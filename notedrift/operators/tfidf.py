@@ -56,7 +56,8 @@ def tfidf(df: DataFrame, id_col: str, text_col: str | None = None, *, tokens: Co
     n = docs.select(F.count(F.lit(1)).cast("double")).scalar()
     tf = (docs.select("id", F.explode("_tokens").alias("term"))
               .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    dfreq_counts = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    dfreq = dfreq_counts
     keep = F.lit(True)
     hi, lo = _limit(max_df, n), _limit(min_df, n)
     if hi is not None:
@@ -66,15 +67,18 @@ def tfidf(df: DataFrame, id_col: str, text_col: str | None = None, *, tokens: Co
     dfreq = dfreq.select("term", keep.alias("_keep"),
                          (F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1).alias("idf"))
     if hot_terms and hot_terms > 0:
-        hot = dfreq.join(
-            tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.col("df").desc(), "term")
-              .limit(hot_terms).select("term"), "term", "left_semi")
-        tagged = tf.join(F.broadcast(hot.withColumnRenamed("idf", "_hidf").withColumnRenamed("_keep", "_hkeep")),
-                         "term", "left")
-        from_hot = tagged.filter(F.col("_hkeep")).select("id", "term", "tf", F.col("_hidf").alias("idf"))
-        cold = (tagged.filter(F.col("_hkeep").isNull()).select("id", "term", "tf")
-                      .join(dfreq.filter(F.col("_keep")).drop("_keep"), "term", "inner"))
-        keyed = from_hot.unionByName(cold.select("id", "term", "tf", "idf"))
+        hot = (dfreq.join(dfreq_counts.orderBy(F.col("df").desc(), "term").limit(hot_terms).select("term"), "term", "left_semi")
+                    .select("term", F.col("_keep").alias("_hkeep"), F.col("idf").alias("_hidf")))
+        # hot terms get their idf from the broadcast; their rows then carry a
+        # spread-out dummy key into the shuffle join, so the term-keyed
+        # partitions only hold cold terms
+        tagged = tf.join(F.broadcast(hot), "term", "left")
+        ck = F.when(F.col("_hidf").isNull(), F.col("term")).otherwise(
+            F.concat(F.lit("\u0001"), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string")))
+        cold = dfreq.select(F.col("term").alias("_ck"), F.col("_keep").alias("_ckeep"), F.col("idf").alias("_cidf"))
+        joined = tagged.withColumn("_ck", ck).join(cold, "_ck", "left")
+        keyed = (joined.filter(F.coalesce(F.col("_hkeep"), F.col("_ckeep"), F.lit(False)))
+                       .select("id", "term", "tf", F.coalesce(F.col("_hidf"), F.col("_cidf")).alias("idf")))
     else:
         keyed = tf.join(dfreq.filter(F.col("_keep")).drop("_keep"), "term", "inner")
     w = keyed.select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
@@ -87,28 +91,21 @@ def tfidf(df: DataFrame, id_col: str, text_col: str | None = None, *, tokens: Co
 def pair_distances(weights: DataFrame, pairs: DataFrame, a: str = "id", b: str = "prior_id") -> DataFrame:
     """I11 core: ``(a, b, distance)`` for distinct non-null pairs, distance =
     ``1 - cos`` clamped to [0, 1]; null when either vector is empty, 1 when
-    the vectors share no term.
-
-    The weights are read once: every document is tagged with the pairs it
-    belongs to (role a or b), joined on the document id, then grouped by
-    (pair, term) - a term shared by both sides contributes ``w_a * w_b``.
-    Keys include the pair, so no term is ever a hot key.
-    """
+    the vectors share no term.  Only the pairs' own terms are joined: the
+    current side on the document id, the prior side on (document, term) -
+    neither key is ever hot."""
+    cur = weights.select(F.col("id").alias("_a"), "term", F.col("weight").alias("_wa"))
+    pri = weights.select(F.col("id").alias("_b"), "term", F.col("weight").alias("_wb"))
     p = (pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
               .filter(F.col("_a").isNotNull() & F.col("_b").isNotNull()).distinct())
-    roles = (p.select(F.col("_a").alias("id"), "_a", "_b", F.lit(True).alias("_is_a"))
-              .unionByName(p.select(F.col("_b").alias("id"), "_a", "_b", F.lit(False).alias("_is_a"))))
-    tagged = weights.join(roles, "id", "inner")
-    per_term = (tagged.groupBy("_a", "_b", "term")
-                .agg(F.max(F.when(F.col("_is_a"), F.col("weight"))).alias("_wa"),
-                     F.max(F.when(~F.col("_is_a"), F.col("weight"))).alias("_wb")))
-    per_pair = (per_term.groupBy("_a", "_b")
-                .agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_dot"),
-                     F.max(F.col("_wa").isNotNull()).alias("_has_a"),
-                     F.max(F.col("_wb").isNotNull()).alias("_has_b")))
+    dots = (p.join(cur, "_a", "inner").join(pri, ["_b", "term"], "inner")
+             .groupBy("_a", "_b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_dot")))
+    nonempty = weights.select(F.col("id").alias("_x")).distinct()
     dist = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - F.coalesce(F.col("_dot"), F.lit(0.0))))
-    return per_pair.select(F.col("_a").alias(a), F.col("_b").alias(b),
-                           F.when(F.col("_has_a") & F.col("_has_b"), dist).alias("distance"))
+    return (p.join(nonempty.withColumnRenamed("_x", "_a"), "_a", "left_semi")
+             .join(nonempty.withColumnRenamed("_x", "_b"), "_b", "left_semi")
+             .join(dots, ["_a", "_b"], "left")
+             .select(F.col("_a").alias(a), F.col("_b").alias(b), dist.alias("distance")))
 
 
 def cosine_distance(weights: DataFrame, pairs: DataFrame, id_col: str = "id",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import periods as P
 from ..functions import text as X
 from ..operators import clean, match, revisions, tfidf
+from ..session import materialize
 from ..sources import adapters as A
 from .registry import register
 from .views_sql import with_views
@@ -46,8 +47,12 @@ def note_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much did each company's note change since its previous quarter and
     since the same quarter a year earlier?  filings -> F1 -> C14 -> D4 -> I1 ->
     I10 -> E5 -> I11."""
-    v = valid_notes(spark, sf_dir).withColumn("text", X.normalize_note("foot_note"))
-    weights = tfidf.tfidf(v, "rcp_no", "text", max_df=0.95, min_df=0)
+    # the resolved notes feed the vectoriser, the document count and the
+    # prior-filing links, and the weights feed both sides of every pair: each
+    # is written once to the shared checkpoint folder instead of recomputed
+    v = materialize(valid_notes(spark, sf_dir).withColumn("text", X.normalize_note("foot_note")).drop("foot_note"),
+                    "valid_notes")
+    weights = materialize(tfidf.tfidf(v, "rcp_no", "text", max_df=0.95, min_df=0), "note_weights")
     linked = match.match_prior_filings(v.select("crp_cd", "rpt_nm", "period", "rcp_dt", "rcp_no"))
     d = tfidf.cosine_distance(weights, linked, "rcp_no", ("prior_q", "prior_y"))
     return d.select("crp_cd", "rpt_nm", "rcp_no", "prior_q", r6("dist_q").alias("dist_q"),
