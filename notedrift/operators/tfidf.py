@@ -37,7 +37,7 @@ def term_counts(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
 def tfidf(df: DataFrame, id_col: str, text_col: str | None = None, *, tokens: Column | None = None,
           max_df: float | int | None = 0.95, min_df: float | int | None = 0,
-          pattern: str = TOKEN_PATTERN, hot_terms: int = 10000) -> DataFrame:
+          pattern: str = TOKEN_PATTERN, hot_terms: int = 10000, materialize_counts: bool = True) -> DataFrame:
     """Long-form TF-IDF ``(id, term, weight)``.
 
     ``n`` counts every input row, also rows without any token (as the
@@ -49,6 +49,10 @@ def tfidf(df: DataFrame, id_col: str, text_col: str | None = None, *, tokens: Co
     broadcast join and never enter the term-keyed shuffle; every other term
     then occurs in at most ``#(doc, term) pairs / hot_terms`` rows, which is
     what one task of the shuffle join may receive for a key.
+
+    The term counts feed the document frequencies, the hot-term top-k and the
+    join; ``materialize_counts`` writes them once to the shared checkpoint
+    folder so tokenisation and the (id, term) aggregation run once.
     """
     if tokens is None:
         tokens = tokenize(F.col(text_col), pattern)
@@ -56,6 +60,9 @@ def tfidf(df: DataFrame, id_col: str, text_col: str | None = None, *, tokens: Co
     n = docs.select(F.count(F.lit(1)).cast("double")).scalar()
     tf = (docs.select("id", F.explode("_tokens").alias("term"))
               .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    if materialize_counts:
+        from ..session import materialize
+        tf = materialize(tf, "term_counts")
     dfreq_counts = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     dfreq = dfreq_counts
     keep = F.lit(True)

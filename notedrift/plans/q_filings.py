@@ -47,16 +47,21 @@ def note_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much did each company's note change since its previous quarter and
     since the same quarter a year earlier?  filings -> F1 -> C14 -> D4 -> I1 ->
     I10 -> E5 -> I11."""
-    # the resolved notes feed the vectoriser, the document count and the
+    # The resolved notes feed the vectoriser, the document count and the
     # prior-filing links, and the weights feed both sides of every pair: each
-    # is written once to the shared checkpoint folder instead of recomputed
-    v = materialize(valid_notes(spark, sf_dir).withColumn("text", X.normalize_note("foot_note")).drop("foot_note"),
-                    "valid_notes")
-    weights = materialize(tfidf.tfidf(v, "rcp_no", "text", max_df=0.95, min_df=0), "note_weights")
-    linked = match.match_prior_filings(v.select("crp_cd", "rpt_nm", "period", "rcp_dt", "rcp_no"))
-    d = tfidf.cosine_distance(weights, linked, "rcp_no", ("prior_q", "prior_y"))
-    return d.select("crp_cd", "rpt_nm", "rcp_no", "prior_q", r6("dist_q").alias("dist_q"),
-                    "prior_y", r6("dist_y").alias("dist_y"))
+    # is written once to the shared checkpoint folder instead of recomputed.
+    # A compact numeric document key (fixed when the table is written) keys
+    # the term aggregation and the pair joins.
+    v = materialize(valid_notes(spark, sf_dir).withColumn("text", X.normalize_note("foot_note")).drop("foot_note")
+                    .withColumn("doc", F.monotonically_increasing_id()), "valid_notes")
+    weights = materialize(tfidf.tfidf(v, "doc", "text", max_df=0.95, min_df=0), "note_weights")
+    linked = match.match_prior_filings(v.select("crp_cd", "rpt_nm", "period", "rcp_dt", "rcp_no", "doc"), id_col="doc")
+    d = tfidf.cosine_distance(weights, linked, "doc", ("prior_q", "prior_y"))
+    for lag in ("q", "y"):
+        names = v.select(F.col("doc").alias(f"prior_{lag}"), F.col("rcp_no").alias(f"prior_{lag}_no"))
+        d = d.join(names, f"prior_{lag}", "left")
+    return d.select("crp_cd", "rpt_nm", "rcp_no", F.col("prior_q_no").alias("prior_q"), r6("dist_q").alias("dist_q"),
+                    F.col("prior_y_no").alias("prior_y"), r6("dist_y").alias("dist_y"))
 
 
 NOTE_CHANGE_SQL = with_views(["valid_notes"], r"""
