@@ -257,3 +257,47 @@ def q_ml_stages(spark, sf_dir):
     model = MD.ml_stages(_ml(spark, sf_dir), ["x1", "x2", "x3"])
     names = [(i, type(s).__name__) for i, s in enumerate(model.stages)]
     return spark.createDataFrame(names, "stage INT, name STRING")
+
+
+# ---------------------------------------------------------------- end-to-end experiment
+@register("text_signal_experiment")
+def q_text_signal_experiment(spark, sf_dir):
+    """The reference's experiment end to end: does the note change help to
+    predict next quarter's 3-class bucket?  Panel features (+ the prior-quarter
+    note distance of the company's first filing of the quarter), target = the
+    company bucket (G1) of the next calendar quarter (E4), min-max scaling,
+    complement NB, stratified 5-fold CV repeated over seeds (J18), then the
+    one-sided two-sample test of the per-seed accuracies (K8)."""
+    from pyspark.ml.feature import MinMaxScaler
+
+    from ..functions import periods as P
+    from ..operators import buckets as B
+    from ..operators import stats as S
+    from .q_filings import note_change
+
+    panel = A.panel(spark, sf_dir)
+    lab = B.bucket_by_entity(panel, "avg_price", out="label")
+    data = match.attach_next_period_target(lab.select("symbol", "period", "qty", "revenue", "label"), ["label"],
+                                           features=["qty", "revenue"], cast="long")
+    nc = note_change(spark, sf_dir)
+    first = (nc.withColumn("symbol", P.symbol_key("crp_cd"))
+               .join(valid_period(spark, sf_dir), "rcp_no")
+               .groupBy("symbol", "period").agg(F.min_by("dist_q", "rcp_no").alias("dist_q")))
+    data = data.join(first, ["symbol", "period"], "inner").na.drop(subset=["dist_q"])
+    data = data.withColumn("id", F.xxhash64("symbol", "period")).withColumn("label", F.col("label_next"))
+    from ..session import materialize
+    data = materialize(data, "experiment_input")  # every fit reads it
+    rows = None
+    for variant, cols in (("numeric", ["qty", "revenue"]), ("text", ["qty", "revenue", "dist_q"])):
+        v = FT.assemble_features(data, cols, "raw")
+        v = MinMaxScaler(inputCol="raw", outputCol="features").fit(v).transform(v).persist()
+        res = MD.repeated_cv(v, lambda: MD.complement_nb("features"), seeds=range(3))
+        res = res.withColumn("variant", F.lit(variant))
+        rows = res if rows is None else rows.unionByName(res)
+    per_seed = rows.groupBy("variant", "seed").agg(F.avg("accuracy").alias("accuracy"))
+    return S.compare_samples(per_seed, "accuracy", "variant", [("numeric", "text")])
+
+
+def valid_period(spark, sf_dir):
+    from .q_filings import valid_notes
+    return valid_notes(spark, sf_dir).select("rcp_no", "period")
