@@ -101,6 +101,14 @@ def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
 
 
+def _with_group_quantiles(df: DataFrame, by: Sequence[str], col: str, probs, out: str) -> DataFrame:
+    """Attach exact per-group quantiles (array column ``out``) by key."""
+    if by:
+        return df.join(group_quantiles(df, list(by), col, probs, out), list(by), "left")
+    tmp = df.withColumn("_all", F.lit(0))
+    return tmp.join(group_quantiles(tmp, ["_all"], col, probs, out), ["_all"], "left").drop("_all")
+
+
 def reject_outliers_sigma(df: DataFrame, col: str, m: float = 3.0, by: Sequence[str] = ()) -> DataFrame:
     """K1: keep rows with ``|x - mean| < m * std`` (population std) per group."""
     st = _group_stats(df, by, F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd"))
@@ -111,10 +119,11 @@ def reject_outliers_sigma(df: DataFrame, col: str, m: float = 3.0, by: Sequence[
 def filter_outliers_iqr(df: DataFrame, col: str, k: float = 1.5, by: Sequence[str] = (),
                         approx: bool = False) -> DataFrame:
     """K3: keep ``q25 - k*IQR <= x <= q75 + k*IQR`` (linear quantiles) per group."""
-    q = (F.percentile_approx(col, F.array(F.lit(.25), F.lit(.75)), 10000) if approx
-         else F.percentile(col, F.array(F.lit(.25), F.lit(.75))))
-    st = _group_stats(df, by, q.alias("_q"))
-    j = _attach(df, st, by)
+    if approx:
+        st = _group_stats(df, by, F.percentile_approx(col, F.array(F.lit(.25), F.lit(.75)), 10000).alias("_q"))
+        j = _attach(df, st, by)
+    else:
+        j = _with_group_quantiles(df, by, col, (.25, .75), "_q")
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     iqr = q3 - q1
     return j.filter((F.col(col) >= q1 - F.lit(k) * iqr) & (F.col(col) <= q3 + F.lit(k) * iqr)).drop("_q")
@@ -124,12 +133,12 @@ def flag_outliers_mad(df: DataFrame, cols: Sequence[str], thresh: float = 3.5, b
                       out: str = "is_outlier") -> DataFrame:
     """K2: modified z-score ``0.6745 * d / median(d) > thresh`` where d is the
     Euclidean distance of the point to the per-column medians."""
-    med = _group_stats(df, by, *[F.median(c).alias(f"_m_{c}") for c in cols])
-    j = _attach(df, med, by)
+    j = df
+    for c in cols:
+        j = _with_group_quantiles(j, by, c, (.5,), f"_mq_{c}").withColumn(f"_m_{c}", F.col(f"_mq_{c}")[0]).drop(f"_mq_{c}")
     dist = F.sqrt(sum((F.col(c) - F.col(f"_m_{c}")) ** 2 for c in cols))
     j = j.withColumn("_d", dist).drop(*[f"_m_{c}" for c in cols])
-    mad = _group_stats(j, by, F.median("_d").alias("_mad"))
-    j = _attach(j, mad, by)
+    j = _with_group_quantiles(j, by, "_d", (.5,), "_madq").withColumn("_mad", F.col("_madq")[0]).drop("_madq")
     return j.withColumn(out, F.lit(0.6745) * F.col("_d") / F.col("_mad") > F.lit(thresh)).drop("_d", "_mad")
 
 
@@ -168,7 +177,7 @@ def levene(df: DataFrame, value: str, sample: str, pairs: Sequence[tuple[str, st
     pr = _pairs(spark, pairs)
     members = (pr.select("pair_id", F.col("sample_a").alias(sample))
                  .unionByName(pr.select("pair_id", F.col("sample_b").alias(sample))))
-    med = df.groupBy(sample).agg(F.median(value).alias("_med"))
+    med = group_quantiles(df, sample, value, (.5,), "_mq").select(sample, F.col("_mq")[0].alias("_med"))
     z = df.join(med, sample).select(sample, F.abs(F.col(value) - F.col("_med")).alias("z"))
     zg = z.groupBy(sample).agg(F.count("z").alias("ng"), F.avg("z").alias("zbar_g"))
     ss_within = (z.join(zg, sample).groupBy(sample)
@@ -316,3 +325,36 @@ def normality_report(df: DataFrame, value: str, sample: str, alpha: float = 0.05
     x = filter_outliers_iqr(x, value, k, by=[sample])
     sw = shapiro_wilk(x, value, sample)
     return sw.withColumn("normal", F.col("p") >= alpha)
+
+
+def group_quantiles(df: DataFrame, group: Sequence[str] | str, value: str, probs: Sequence[float],
+                    out: str = "q") -> DataFrame:
+    """Exact linear-interpolation quantiles per group (the same definition as
+    ``percentile``), computed from distributed ranks: only the order
+    statistics around each quantile position are picked out by one equi-join
+    on (group, rank), so no group's values are ever gathered in one task.
+    Returns ``(group..., <out>: array<double>)`` in the order of ``probs``."""
+    groups = [group] if isinstance(group, str) else list(group)
+    x = df.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    x = x.withColumn("_g", F.to_json(F.struct(*groups))) if len(groups) > 1 else x.withColumn("_g", F.col(groups[0]))
+    keys = x.select(*groups, "_g").distinct() if len(groups) > 1 else None
+    r = group_ranks(x.select("_g", "_v"), "_g", "_v", out="_r")
+    n = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    pts = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    t = (n.select("_g", "_n", F.explode(pts).alias("_pp"))
+          .select("_g", F.col("_pp.k").alias("_k"), ((F.col("_n") - 1) * F.col("_pp.p")).alias("_pos")))
+    # one target row per order statistic needed: (group, rank, quantile index, lower/upper)
+    lo_hi = F.array(F.struct((F.floor("_pos") + 1).cast("long").alias("rank"), F.lit(True).alias("is_lo")),
+                    F.struct((F.ceil("_pos") + 1).cast("long").alias("rank"), F.lit(False).alias("is_lo")))
+    targets = (t.select("_g", "_k", "_pos", F.explode(lo_hi).alias("_t"))
+                .select("_g", "_k", "_pos", F.col("_t.rank").alias("_r"), F.col("_t.is_lo").alias("_is_lo")))
+    v = targets.join(r, ["_g", "_r"]).groupBy("_g", "_k", "_pos").agg(
+        F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(~F.col("_is_lo"), F.col("_v"))).alias("_vhi"))
+    frac = F.col("_pos") - F.floor("_pos")
+    q = F.when(frac == 0, F.col("_vlo")).otherwise((F.lit(1.0) - frac) * F.col("_vlo") + frac * F.col("_vhi"))
+    agg = v.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_k", q.alias("_q")))).alias("_qs"))
+    agg = agg.select("_g", F.transform("_qs", lambda s: s["_q"]).alias(out))
+    if keys is None:
+        return agg.withColumnRenamed("_g", groups[0])
+    return keys.join(agg, "_g").drop("_g")
