@@ -411,3 +411,13 @@ SELECT rcp_no, CAST((row_number() OVER (ORDER BY rcp_no) - 1) // 5000 AS BIGINT)
 def q_chunk_ids(spark, sf_dir):
     from ..sources import io
     return io.chunk_ids(A.filings(spark, sf_dir).select("rcp_no"), "rcp_no", 5000)
+
+
+@register("read_panel", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
+def q_read_panel(spark, sf_dir):
+    """A3: a sheet read with an explicit schema (only these columns are scanned)."""
+    from pyspark.sql import types as T
+    from ..sources import io
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_nationkey", T.IntegerType()),
+                           T.StructField("c_mktsegment", T.StringType())])
+    return io.read_panel(spark, f"{sf_dir.rstrip('/')}/customer.parquet", schema)

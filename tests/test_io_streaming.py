@@ -47,3 +47,26 @@ def test_streaming_ingest(spark, scratch):
     got = spark.read.parquet(sink)
     expected = f.filter((F.col("foot_note") != "NA") & F.col("foot_note").isNotNull()).count()
     assert got.count() == expected
+
+
+def test_vectors_and_filings_scan(spark, scratch):
+    from notedrift.operators import tfidf
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma gamma")], "id long, text string")
+    w = tfidf.tfidf(docs, "id", "text", materialize_counts=False)
+    v = io.weights_to_vectors(w, "id", num_features=1 << 10)
+    io.write_vectors(v, os.path.join(scratch, "vec"), "id")
+    back = {r.id: r.features for r in io.read_vectors(spark, os.path.join(scratch, "vec")).collect()}
+    assert back[1].size == 1 << 10 and abs(back[1].norm(2) - 1.0) < 1e-12
+    f = A.filings(spark, SF)
+    f.write.parquet(os.path.join(scratch, "pages", "p1"))
+    scanned = io.filings_scan(spark, os.path.join(scratch, "pages"))
+    assert scanned.schema == io.FILING_SCHEMA and scanned.count() == f.count()
+
+
+def test_lookup_and_missing(spark):
+    df = spark.createDataFrame([("000001", '{"ind_cd": "0642"}', "NA", 0.0), ("000002", "{}", "x", 1.0)],
+                               "crp_cd string, payload string, note string, v double")
+    got = {r.crp_cd: r.ind_cd for r in io.lookup_from_json(df).collect()}
+    assert got == {"000001": "0642", "000002": None}
+    n = io.normalize_missing(df, na_strings={"note": ["NA", ""]}, zero_is_missing=["v"]).collect()
+    assert n[0].note is None and n[0].v is None and n[1].note == "x"
