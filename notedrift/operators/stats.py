@@ -220,7 +220,9 @@ def group_ranks(df: DataFrame, group: str, value: str, out: str = "rank", partit
     """1-based rank of ``value`` within ``group`` (ties in arbitrary order)
     without holding a group in one task: range-partition on (group, value),
     number rows inside each partition, and add the counts of the earlier
-    partitions of the same group (a table of #partitions x #groups rows)."""
+    partitions of the same group (one row per (partition, group) that occurs:
+    about #groups + #partitions rows).  A hot group is split over many
+    partitions by value, so no task holds a whole group."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (df.repartitionByRange(n, F.col(group), F.col(value)).sortWithinPartitions(group, value)
@@ -230,7 +232,8 @@ def group_ranks(df: DataFrame, group: str, value: str, out: str = "rank", partit
     from pyspark.sql import Window
     w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    j = s.join(F.broadcast(blocks.select("_pid", group, "_first", "_off")), ["_pid", group])
+    # blocks has about #groups + #partitions rows; AQE broadcasts it when small
+    j = s.join(blocks.select("_pid", group, "_first", "_off"), ["_pid", group])
     return j.withColumn(out, (F.col("_row") - F.col("_first") + F.col("_off") + 1).cast("long")).drop("_pid", "_row", "_first", "_off")
 
 

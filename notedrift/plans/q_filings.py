@@ -55,7 +55,9 @@ def note_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = materialize(valid_notes(spark, sf_dir).withColumn("text", X.normalize_note("foot_note")).drop("foot_note")
                     .withColumn("doc", F.monotonically_increasing_id()), "valid_notes")
     weights = materialize(tfidf.tfidf(v, "doc", "text", max_df=0.95, min_df=0), "note_weights")
-    linked = match.match_prior_filings(v.select("crp_cd", "rpt_nm", "period", "rcp_dt", "rcp_no", "doc"), id_col="doc")
+    # one row per filing; it feeds both pair kinds and the final join
+    linked = materialize(match.match_prior_filings(v.select("crp_cd", "rpt_nm", "period", "rcp_dt", "rcp_no", "doc"),
+                                                   id_col="doc"), "prior_links")
     d = tfidf.cosine_distance(weights, linked, "doc", ("prior_q", "prior_y"))
     for lag in ("q", "y"):
         names = v.select(F.col("doc").alias(f"prior_{lag}"), F.col("rcp_no").alias(f"prior_{lag}_no"))
