@@ -4,7 +4,7 @@ score samples, predictions, ...).
 
 Every view is a deterministic function of the driver tables, so its size grows
 with them.  The same construction is written independently in DuckDB SQL in
-``notedrift.plans.oracle``; the two must agree row for row.
+``notedrift.plans.views_sql``; the two must agree row for row.
 """
 
 from __future__ import annotations
