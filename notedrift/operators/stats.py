@@ -228,6 +228,11 @@ def group_ranks(df: DataFrame, group: str, value: str, out: str = "rank", partit
     s = (df.repartitionByRange(n, F.col(group), F.col(value)).sortWithinPartitions(group, value)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    # the range bounds come from a sample, so two evaluations of ``s`` could
+    # place rows differently: write it once, then count blocks and number rows
+    # from the same table (also survives executor loss)
+    from ..session import materialize
+    s = materialize(s, "ranked_input")
     blocks = s.groupBy("_pid", group).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     from pyspark.sql import Window
     w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
