@@ -17,7 +17,9 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # Sentence delimiters of the note splitter, in the order given.
 SENTENCE_DELIMITERS = (". ", "? ", "! ", "\n", ".\n")
 
-# Morpheme tags kept for the footnote corpus (';' normalised away).
+# The morpheme tags kept for the footnote corpus, in the original
+# order; the original list carries a trailing ';' on most entries (its token
+# separator), which is dropped here because tags are compared structurally.
 KEPT_TAGS = ("NNG", "NNP", "NNB", "NP", "VV", "VA", "VX", "VCP", "VCN", "MM", "MAG", "MAJ",
              "XPN", "XSN", "XSV", "XSA", "XR", "NF", "NV", "NA")
 
