@@ -131,3 +131,16 @@ def test_default_tagger(spark):
     df = spark.createDataFrame([("Seoul has 12 firms. ok",)], "t string")
     tags = [(x.surface, x.tag) for x in df.select(G.tag_text("t").alias("g")).first().g]
     assert tags == [("Seoul", "NNP"), ("has", "NNG"), ("12", "SN"), ("firms", "NNG"), ("ok", "JX")]
+
+
+def test_pluggable_tagger(spark):
+    """A per-sentence analyser plugged in as a pandas UDF; a failing sentence is skipped."""
+    def analyse(sentence):
+        if "bad" in sentence:
+            raise ValueError("analyser failed")
+        return [(w, "NNG") for w in sentence.split()]
+
+    tagger = G.pandas_tagger(analyse)
+    df = spark.createDataFrame([("good words. bad one. more text",)], "t string")
+    out = df.select(tagger(X.split_sentences("t")).alias("g")).first().g
+    assert [x.surface for x in out] == ["good", "words", "more", "text"]
