@@ -33,7 +33,9 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved filings, consolidated note preferred, standard quarters only."""
-    r = clean.prefer_consolidated(resolved(spark, sf_dir))
+    # the note choice is row-local, so it runs before the revision window and
+    # only one text column travels through that shuffle
+    r = revisions.resolve_revisions(clean.prefer_consolidated(has_note(spark, sf_dir)))
     cols = ["crp_cls", "crp_nm", "crp_cd", "rpt_nm", "rcp_no", "dic_cls", "rcp_dt", "foot_note"]
     return with_quarter(r.select(*cols)).filter(F.col("quarter").isNotNull())
 
