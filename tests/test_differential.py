@@ -119,3 +119,25 @@ def test_t_tests_against_formula(spark):
     assert abs(t.t_welch - (ma - mb) / math.sqrt(va / len(a) + vb / len(b))) < 1e-12
     p = stats.t_two_sided_p(t.t_welch, t.df_welch)
     assert 0 < p < 1
+
+
+def test_group_quantiles_equal_percentile(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("abc"), rng.choice([1.0, 2.0, 2.0, 3.5, 7.0, rng.random() * 10])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.33, 0.5, 0.66, 0.75, 1.0]
+    mine = {r.g: r.q for r in stats.group_quantiles(df, "g", "v", probs).collect()}
+    ref = {r.g: r.q for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    for g in ref:
+        assert all(abs(a - b) < 1e-12 for a, b in zip(mine[g], ref[g]))
+
+
+def test_rolling_buckets_ranks_equal_window(spark):
+    from notedrift.operators import buckets
+    rng = random.Random(5)
+    rows = [(s, p, float(rng.randrange(0, 20))) for s in ("s1", "s2", "s3") for p in range(rng.randrange(30, 90))]
+    df = spark.createDataFrame(rows, "symbol string, period int, x double")
+    a = {(r.symbol, r.period): r.bucket for r in buckets.bucket_rolling(df, "x", rows=10).collect()}
+    b = {(r.symbol, r.period): r.bucket for r in buckets.bucket_rolling(df, "x", rows=10, method="window").collect()}
+    assert a == b and len(a) == len(rows)
