@@ -141,3 +141,15 @@ def test_rolling_buckets_ranks_equal_window(spark):
     a = {(r.symbol, r.period): r.bucket for r in buckets.bucket_rolling(df, "x", rows=10).collect()}
     b = {(r.symbol, r.period): r.bucket for r in buckets.bucket_rolling(df, "x", rows=10, method="window").collect()}
     assert a == b and len(a) == len(rows)
+
+
+def test_hot_term_path_equals_plain_join(spark):
+    rng = random.Random(9)
+    words = ["common"] * 6 + [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))) for i in range(300)]
+    docs.append((300, "zz"))  # a document whose only term is rare
+    df = spark.createDataFrame(docs, "id long, text string")
+    a = {(r.id, r.term): r.weight for r in tfidf.tfidf(df, "id", "text", hot_terms=3, max_df=0.9).collect()}
+    b = {(r.id, r.term): r.weight for r in tfidf.tfidf(df, "id", "text", hot_terms=0, max_df=0.9).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
