@@ -43,16 +43,21 @@ def build_session(master: str | None = None, app: str = "notedrift",
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    Reads ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    fresh scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir``.  Where it is unset, ``fallback`` is
+    registered if given; otherwise a fresh scratch folder, but only for a
+    session that runs in one process (``local[*]``, as in tests).  On a cluster
+    an unset folder is an error: a machine-local folder would lose data.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or fallback
     if not conf_dir:
-        conf_dir = fallback or tempfile.mkdtemp(prefix="notedrift-ckpt-", dir="/tmp")
+        master = sc.master or ""
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        conf_dir = tempfile.mkdtemp(prefix="notedrift-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
