@@ -8,9 +8,10 @@ segmentations of the same text that share a boundary agree from there on.  The
 first boundary that two neighbours share in their overlap is therefore where
 the texts are stitched, and the pieces between stitches are encoded
 independently.  Matches near the end of a chunk may change with the text that
-follows, so boundaries within ``GUARD`` characters of it are not used, nor are those
-after white space, where the pattern looks ahead.  A text with neighbours
-that share no such boundary (a single run longer than the overlap) is put together again and encoded as one piece: exact for every text.
+follows, so boundaries within ``GUARD`` characters of it are not used,
+nor are those after white space, where the pattern looks ahead.  A text with
+neighbours that share no such boundary (a single run longer than the overlap)
+is put together again and encoded as one piece: exact for every text.
 
 Defined results: a null text is the empty text, an empty text has no ids; ids
 of documents and rows may repeat or be null (rows stay separate rows); an empty
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .textops import code_points, slices, strings
+from .textops import code_points, slices, text_slices
 from .vocab import SPACE, class_table, pretoken_starts, vocabulary
 
 CHUNK_CHARS = 32_768
@@ -40,9 +41,8 @@ def _encoder(path: str, pattern: str, keys: list[str], text: str) -> Callable[[I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
         for batch in batches:
-            texts = strings(batch.column(text))
-            for lo, hi in slices(texts):
-                ids, bounds = vocab.encode(texts[lo:hi])
+            for lo, hi, texts in text_slices(batch.column(text)):
+                ids, bounds = vocab.encode(texts)
                 columns = [batch.column(k).slice(lo, hi - lo) for k in keys]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*columns, lists], names=[*keys, "ids"])
@@ -71,9 +71,8 @@ def _boundaries(texts: list[str], firsts: list[int], overlap: int, chunk: int, t
 def _chunks(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column("text"))
-            row = batch.column("row").to_pylist()
-            for r, t in zip(row, texts):
+            rows = zip(batch.column("row").to_pylist(), (t for _, _, part in text_slices(batch.column("text")) for t in part))
+            for r, t in rows:
                 at = range(0, len(t), chunk)
                 for lo in range(0, len(at), 64):
                     part = at[lo:lo + 64]
@@ -138,15 +137,12 @@ def _decoder(path: str, pattern: str):
         for batch in batches:
             keys, column = batch.column("key"), batch.column("ids")
             bounds = column.offsets.to_numpy()
-            ids = column.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            lo = 0
-            while lo < len(column):
-                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 1_000_000, "right")) - 1)
+            ids = column.values.to_numpy().view("<u4")
+            for lo, hi in slices(np.diff(bounds), 250_000):
                 own = [ids[a:b] for a, b in zip(bounds[lo:hi], bounds[lo + 1:hi + 1])]
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(lo, hi - lo), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()),
                      pa.array([vocab.decode(x) for x in own], pa.binary())], names=["key", "n_tokens", "ids_le", "decoded"])
-                lo = hi
     return run
 
 

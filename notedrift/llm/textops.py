@@ -1,7 +1,7 @@
 """Array helpers for text inside Arrow batches.
 
 Everything works on one bounded slice of an Arrow batch at a time (whole texts,
-never prefixes); a slice is closed once it holds ``SLICE_CHARS`` characters, so
+never prefixes); a slice is closed once it holds ``SLICE_BYTES`` bytes, so
 the peak memory of a task is bounded by that constant or by one single text.
 """
 
@@ -12,28 +12,30 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_CHARS = 2_000_000
+SLICE_BYTES = 1_000_000
 
 #: Fixed seed of the random tables behind `hash_runs`; not a tunable.
 _TABLE_SEED = 20_240_501
 
 
-def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges [lo, hi) over ``texts`` of at most ``limit`` characters each (one text at least)."""
-    lo, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > limit:
-            yield lo, i
-            lo, held = i, 0
-        held += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges [lo, hi) of entries whose sizes add up to ``limit`` at most (one entry at least)."""
+    stop = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        held = stop[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(stop, held + limit, "right")))
+        yield lo, hi
+        lo = hi
 
 
-def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """Python strings of an Arrow string column, null as empty."""
-    return [t if t is not None else "" for t in column.to_pylist()]
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """(lo, hi, texts) over an Arrow string column; a null is the empty text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, hi in slices(sizes, limit):
+        yield lo, hi, [t if t is not None else "" for t in column.slice(lo, hi - lo).to_pylist()]
 
 
 def code_points(text: str) -> np.ndarray:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,13 +22,13 @@ from .textops import code_points, hash_runs
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Distinct pre-tokens a worker remembers between slices; past it the memory is emptied.
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 150_000
 
 
 def _classes() -> np.ndarray:
     table = np.zeros(0x110000, np.uint8)
     every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         found = "".join(regex.findall(pattern, every))
         table[code_points(found)] = kind
     return table
@@ -83,14 +84,14 @@ class Vocabulary:
         self.token_bytes: list[bytes] = [b""] * size
         for token, i in ranks.items():
             self.token_bytes[i] = token
-        self._ids: dict[int, np.ndarray] = {}
+        self._ids: dict[int, bytes] = {}  # ids of a pre-token as 32-bit integers
 
-    def _known(self, key: int, piece: str) -> np.ndarray:
+    def _known(self, key: int, piece: str) -> bytes:
         got = self._ids.get(key)
         if got is None:
             if len(self._ids) >= CACHE_TOKENS:
                 self._ids.clear()
-            got = self._ids[key] = np.array(self.core.encode_single_piece(piece.encode("utf-8", "replace")), dtype=np.int32)
+            got = self._ids[key] = array("i", self.core.encode_single_piece(piece.encode())).tobytes()
         return got
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +113,8 @@ class Vocabulary:
         whole = "".join(texts)
         lo, hi = at[first].tolist(), ends[first].tolist()
         pieces = [self._known(k, whole[a:b]) for k, a, b in zip(keys.tolist(), lo, hi)]
-        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces)
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat = np.frombuffer(b"".join(pieces), np.int32)
         offset = np.concatenate(([0], np.cumsum(lens)[:-1]))
         n = lens[which]
         stop = np.cumsum(n)
