@@ -36,3 +36,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), path, pattern())
     back = bpe.decode(ids, path, pattern())
     return back.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document: 3-word shingles, 3 bits."""
+    from . import simhash
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 1024 tokens."""
+    from . import packing
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), pattern(), end_id=2, capacity=1024)
