@@ -159,3 +159,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """One vocabulary a worker process."""
     return Vocabulary(read_ranks(path), pattern)
+
+
+@lru_cache(1)
+def lower_table() -> np.ndarray:
+    """Lower case of every code point whose lower case is one code point; others stay."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    for c in regex.findall(r"[\p{Lu}\p{Lt}]", every):
+        if len(low := c.lower()) == 1:
+            table[ord(c)] = ord(low)
+    return table
+
+
+def words(texts: list[str], fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts: hashes, whether letters or numbers, places in their text, lengths, and texts' first words (len + 1).
+
+    A word is a run of letters and numbers, or a run of other signs; white space
+    parts them.  ``fold``: hash the lower case.
+    """
+    joined = code_points("\n".join([*texts, ""]))
+    kind = class_table()[joined]
+    shape = np.where(kind == SPACE, 0, np.where(kind == OTHER, 2, 1)).astype(np.int8)
+    edge = np.flatnonzero(shape[1:] != shape[:-1]) + 1 if len(joined) else np.empty(0, np.int64)
+    start = np.concatenate(([0], edge)).astype(np.int64)
+    stop = np.append(edge, len(joined)).astype(np.int64)
+    real = shape[start] != 0 if len(joined) else np.zeros(len(start), bool)
+    start, stop = start[real], stop[real]
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    base = np.concatenate(([0], np.cumsum(sizes)))
+    first = np.searchsorted(start, base)
+    hashes = hash_runs(lower_table()[joined] if fold else joined, start, stop)
+    own = np.repeat(base[:-1], np.diff(first))
+    return hashes, shape[start] == 1, start - own, stop - start, first
