@@ -50,3 +50,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of at most 1024 tokens."""
     from . import packing
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), pattern(), end_id=2, capacity=1024)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document and its worst sentence."""
+    from . import labelled, toxicity
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", labelled.held_out("doc_id").alias("held_out"), toxicity.score(model, F.col("text")).alias("t"))
+    return found.select("doc_id", "held_out", "t.score", (F.col("t.score") >= 0.5).cast("int").alias("predicted"),
+                        "t.sentence_start", "t.sentence_end", "t.sentence_score")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    from . import labelled, quality
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", labelled.held_out("doc_id").alias("held_out"), quality.score(model, F.col("text")).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
