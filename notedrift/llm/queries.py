@@ -71,3 +71,41 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     found = docs.select("doc_id", labelled.held_out("doc_id").alias("held_out"), quality.score(model, F.col("text")).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: text, declared language (``lang``) and host (``source``)."""
+    from . import language
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = language.train(docs, "text", "lang")
+    found = language.identify(docs, model, "text", "lang", "source")
+    return found.select("doc_id", "verdict.language", F.round("verdict.probability", 6).alias("probability"), "verdict.accepted")
+
+
+@query
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on web pages: markup language, address suffix and host of every page."""
+    from . import language
+    pages = table(spark, sf_dir, "pages")
+    text = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    rows = pages.select("page_id", text.alias("text"), language.html_language(F.col("html")).alias("declared"), language.address_host(F.col("url")).alias("host"))
+    model = language.train(rows, "text", "declared")
+    found = language.identify(rows, model, "text", "declared", "host")
+    return found.select("page_id", "verdict.language", F.round("verdict.probability", 6).alias("probability"), "verdict.accepted")
+
+
+@query
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds control strings, formatted and read back."""
+    from . import chat
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                 "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(rows.unionByName(trap).withColumn("parts", chat.text_part(F.col("text"))))
+    back = chat.read_back(formatted.withColumn("conv", F.struct("conv_id", F.char_length("formatted").alias("n"))), "conv")
+    learned = F.array_join("learned", "")
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv.conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                       F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+                       F.col("conv.n").cast("long").alias("formatted_chars"))
