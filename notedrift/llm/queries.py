@@ -109,3 +109,14 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv.conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
                        F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
                        F.col("conv.n").cast("long").alias("formatted_chars"))
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those the trees add."""
+    from . import pii
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = pii.find(docs, pii.train(docs)).select("doc_id", "pii.base", "pii.spans")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return got.select("doc_id", count("email"), count("ip"), count("card"), count("phone"),
+                      F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
