@@ -120,3 +120,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return got.select("doc_id", count("email"), count("ip"), count("card"), count("phone"),
                       F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+@query
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings, cosine 0.9."""
+    from . import embeddings
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100."""
+    from . import bm25
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.where(F.col("doc_id") % 100 == 0), k=10)
