@@ -59,11 +59,14 @@ def fit_ftrl(texts: list[str], labels: np.ndarray, bits: int = BITS, epochs: int
         l1 = np.where(bias, 0.0, L1)
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
+    # both classes count alike, as good documents far outnumber bad ones
+    high = float(labels.sum())
+    weight = {1.0: len(labels) / (2 * high), 0.0: len(labels) / (2 * (len(labels) - high))} if 0 < high < len(labels) else {0.0: 1.0, 1.0: 1.0}
     for _ in range(epochs):
         for (b, v), y in zip(rows, labels):
             w = weights(z[b], n[b], b == size)
             p = 1 / (1 + np.exp(-np.clip(w @ v, -35, 35)))
-            g = (p - y) * v
+            g = weight[y] * (p - y) * v
             z[b] += g - (np.sqrt(n[b] + g * g) - np.sqrt(n[b])) / ALPHA * w
             n[b] += g * g
     w = weights(z, n, np.arange(size + 1) == size)
