@@ -40,7 +40,7 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 MAIL = (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++"
         r"(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++")
 NUMBER = r"\+?[(]?[0-9](?:[ ().-]{0,3}+[0-9])++"
-BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 PRECISION, LIKELY = 0.95, 0.9
 ROUNDS, RATE, LAMBDA = 30, 0.3, 1.0
 FEATURES = ("generator", "digits", "dots", "round", "dash", "blank", "luhn", "quad", "stuck", "named", "tail")
