@@ -240,7 +240,7 @@ def test_language_fuses_evidence(spark):
     html = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     assert np.mean([pages[i].language == re.search(r'lang="(\w+)', h).group(1) for i, h in html.items() if 'lang="' in h]) > .95
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
-    odd = spark.createDataFrame([(None, None, None, None), (9001, "", "en", "x.de"), (9002, "12 34", "xx-YY", None), (9003, "语言识别没有训练过的文字" * 5, "en", "src1")], docs.schema)
+    odd = spark.createDataFrame([(None, None, None, None), (9001, "", "en", "x.de"), (9002, "12 34", "xx-YY", None), (9003, "语言识别没有训练过的文字" * 5, None, "src1")], docs.schema)
     rows = docs.unionByName(odd).withColumn("verdict", F.lit(1))
     got = language.identify(rows, language.train(rows, "text", "lang"), "text", "lang", "source").collect()
     assert len(got) == docs.count() + 4
