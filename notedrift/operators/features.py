@@ -74,10 +74,10 @@ def interactions(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def f_regression_scores(df: DataFrame, vec_col: str, y: str) -> DataFrame:
     """Univariate F score of every array element against a continuous target:
-    F = r^2 / (1 - r^2) * (n - 2)."""
+    F = r^2 / (1 - r^2) * (n - 2); null for a perfect or undefined correlation."""
     x = df.select(F.posexplode(vec_col).alias("feature", "x"), F.col(y).cast("double").alias("y"))
     g = x.groupBy("feature").agg(F.corr(F.col("x").cast("double"), "y").alias("r"), F.count(F.lit(1)).alias("n"))
-    return g.select("feature", (F.col("r") ** 2 / (1 - F.col("r") ** 2) * (F.col("n") - 2)).alias("f_score"))
+    return g.select("feature", (F.try_divide(F.col("r") ** 2, 1 - F.col("r") ** 2) * (F.col("n") - 2)).alias("f_score"))
 
 
 def select_percentile(scores: DataFrame, percentile: float = 5.0) -> DataFrame:

@@ -96,17 +96,19 @@ def match_prior_filings(df: DataFrame, entity: str = "crp_cd", period: str = "pe
 
 def prefix_range_join(df: DataFrame, ranges: DataFrame, key: Sequence[str], code: str = "ind_cd",
                       prefix: str = "range", pos: str = "pos", on_overlap: str = "last",
-                      value_cols: Sequence[str] = ("sector", "sector2"), max_prefix_len: int = 8) -> DataFrame:
+                      value_cols: Sequence[str] = ("sector", "sector2")) -> DataFrame:
     """Match a code to every range whose prefix it starts with.
 
     Implemented as an equi-join on the code's prefixes of every length
-    (``substring(code, 1, k)``), so no theta join is needed and the range table
-    may be any size.  ``on_overlap='last'`` keeps, per ``key``, the match with the
+    that occurs in the range table (``substring(code, 1, k)``), so no theta join
+    is needed and the range table may be any size; only the distinct lengths
+    reach the driver.  An empty prefix matches every code once.  ``on_overlap='last'`` keeps, per ``key``, the match with the
     highest ``pos`` (the reference's last-row-wins) and keeps unmatched rows with
     nulls; ``'all'`` returns one row per match (a row may fall in several ranges).
     """
     key = list(key)
-    lens = F.sequence(F.lit(1), F.least(F.length(F.col(code)), F.lit(max_prefix_len)))
+    found = sorted(r[0] for r in ranges.select(F.length(prefix)).distinct().collect() if r[0] is not None)
+    lens = F.filter(F.array(*(F.lit(n) for n in found)).cast("array<int>"), lambda n: n <= F.length(F.col(code)))
     cand = (df.select(*key, code).filter(F.col(code).isNotNull())
               .withColumn("_plen", F.explode(lens))
               .withColumn(prefix, F.expr(f"substring({code}, 1, _plen)")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import calendar_parts
@@ -21,37 +21,36 @@ def unpivot_calendar(df: DataFrame, ids: Sequence[str], date_cols: Sequence[str]
     return long.withColumn("month", m).withColumn("year", y).withColumn("quarter", q)
 
 
-def distinct_levels(df: DataFrame, col: str, max_levels: int = 200) -> list:
-    """Distinct non-null values of a column, sorted; fails above ``max_levels``
-    (the one-hot width must stay bounded; only the levels reach the driver)."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()]
-    if len(vals) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels")
-    return sorted(vals)
+def distinct_levels(df: DataFrame, col: str) -> list:
+    """Distinct non-null values of a column, sorted (one column of the wide form each)."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+
+
+def one_hot_long(df: DataFrame, key: Sequence[str], col: str) -> DataFrame:
+    """H5 in sparse form: (key, level) for every non-null value; no width and so no limit of levels."""
+    return df.select(*key, F.col(col).alias("level")).where(F.col("level").isNotNull())
 
 
 def one_hot(df: DataFrame, col: str, prefix: str | None = None, levels: Sequence | None = None,
-            max_levels: int = 200, drop_first: bool = False) -> DataFrame:
+            drop_first: bool = False) -> DataFrame:
     """H5: indicator columns ``<prefix>_<value>`` sorted by value; null -> all 0;
-    the source column is dropped."""
+    the source column is dropped.  For many levels use ``one_hot_long``."""
     prefix = prefix or col
-    levels = list(levels) if levels is not None else distinct_levels(df, col, max_levels)
+    levels = list(levels) if levels is not None else distinct_levels(df, col)
     if drop_first:
         levels = levels[1:]
     ind = [F.coalesce((F.col(col) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in levels]
     return df.select(*[c for c in df.columns if c != col], *ind)
 
 
-def encode_labels(df: DataFrame, col: str, out: str | None = None, max_levels: int = 10000) -> DataFrame:
-    """H7: alphabetical label -> 0..k-1.  The distinct labels (bounded by
-    ``max_levels``, checked) are ranked and joined back by broadcast."""
+def encode_labels(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """H7: alphabetical label -> 0..k-1; null stays null.  The distinct labels are
+    ranked in ranges (no un-partitioned window) and joined back by key."""
+    from .stats import group_ranks
     out = out or f"{col}_code"
     levels = df.select(col).where(F.col(col).isNotNull()).distinct()
-    n = levels.limit(max_levels + 1).count()
-    if n > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} labels")
-    coded = levels.withColumn(out, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("long"))
-    return df.join(F.broadcast(coded), col, "left")
+    coded = group_ranks(levels.withColumn("_one", F.lit(0)), "_one", col, out="_rank")
+    return df.join(coded.select(col, (F.col("_rank") - 1).cast("long").alias(out)), col, "left")
 
 
 def class_frequency(df: DataFrame, label: str) -> DataFrame:

@@ -94,9 +94,19 @@ def _group_stats(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
+def _join_null_safe(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join on ``by`` in which null equals null."""
+    right = stats.select(*[F.col(c).alias(f"_k_{c}") if c in by else F.col(c) for c in stats.columns])
+    cond = None
+    for c in by:
+        same = df[c].eqNullSafe(right[f"_k_{c}"])
+        cond = same if cond is None else cond & same
+    return df.join(right, cond).drop(*[f"_k_{c}" for c in by])
+
+
 def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     if by:
-        return df.join(stats, list(by), "inner")
+        return _join_null_safe(df, stats, by)
     # a single aggregate row: attach as scalar subqueries, no join
     return df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
 
@@ -132,14 +142,15 @@ def filter_outliers_iqr(df: DataFrame, col: str, k: float = 1.5, by: Sequence[st
 def flag_outliers_mad(df: DataFrame, cols: Sequence[str], thresh: float = 3.5, by: Sequence[str] = (),
                       out: str = "is_outlier") -> DataFrame:
     """K2: modified z-score ``0.6745 * d / median(d) > thresh`` where d is the
-    Euclidean distance of the point to the per-column medians."""
+    Euclidean distance of the point to the per-column medians (null where the
+    median distance is 0)."""
     j = df
     for c in cols:
         j = _with_group_quantiles(j, by, c, (.5,), f"_mq_{c}").withColumn(f"_m_{c}", F.col(f"_mq_{c}")[0]).drop(f"_mq_{c}")
     dist = F.sqrt(sum((F.col(c) - F.col(f"_m_{c}")) ** 2 for c in cols))
     j = j.withColumn("_d", dist).drop(*[f"_m_{c}" for c in cols])
     j = _with_group_quantiles(j, by, "_d", (.5,), "_madq").withColumn("_mad", F.col("_madq")[0]).drop("_madq")
-    return j.withColumn(out, F.lit(0.6745) * F.col("_d") / F.col("_mad") > F.lit(thresh)).drop("_d", "_mad")
+    return j.withColumn(out, F.try_divide(F.lit(0.6745) * F.col("_d"), F.col("_mad")) > F.lit(thresh)).drop("_d", "_mad")
 
 
 # ------------------------------------------------------------------ two-sample tests
@@ -154,20 +165,21 @@ def _pairs(spark, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def t_tests(df: DataFrame, value: str, sample: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """K6 + K7: pooled and Welch t statistics with their degrees of freedom,
-    one row per pair (a, b)."""
+    one row per pair (a, b); null where a variance or count leaves them undefined."""
     mom = sample_moments(df, value, sample)
     a = mom.select(F.col(sample).alias("sample_a"), F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("var").alias("v1"))
     b = mom.select(F.col(sample).alias("sample_b"), F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("var").alias("v2"))
     p = _pairs(df.sparkSession, pairs).join(a, "sample_a").join(b, "sample_b")
     n1, n2, m1, m2, v1, v2 = (F.col(c) for c in ("n1", "n2", "m1", "m2", "v1", "v2"))
-    sp2 = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
-    se_w = v1 / n1 + v2 / n2
+    sp2 = F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
+    se_w = F.try_divide(v1, n1) + F.try_divide(v2, n2)
     return p.select(
         "pair_id", "sample_a", "sample_b",
-        ((m1 - m2) / F.sqrt(sp2 * (F.lit(1.0) / n1 + F.lit(1.0) / n2))).alias("t_pooled"),
+        F.try_divide(m1 - m2, F.sqrt(sp2 * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)))).alias("t_pooled"),
         (n1 + n2 - 2).cast("double").alias("df_pooled"),
-        ((m1 - m2) / F.sqrt(se_w)).alias("t_welch"),
-        (se_w * se_w / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1))).alias("df_welch"))
+        F.try_divide(m1 - m2, F.sqrt(se_w)).alias("t_welch"),
+        F.try_divide(se_w * se_w, F.try_divide(F.try_divide(v1, n1) ** 2, n1 - 1)
+                     + F.try_divide(F.try_divide(v2, n2) ** 2, n2 - 1)).alias("df_welch"))
 
 
 def levene(df: DataFrame, value: str, sample: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -179,17 +191,15 @@ def levene(df: DataFrame, value: str, sample: str, pairs: Sequence[tuple[str, st
                  .unionByName(pr.select("pair_id", F.col("sample_b").alias(sample))))
     med = group_quantiles(df, sample, value, (.5,), "_mq").select(sample, F.col("_mq")[0].alias("_med"))
     z = df.join(med, sample).select(sample, F.abs(F.col(value) - F.col("_med")).alias("z"))
-    zg = z.groupBy(sample).agg(F.count("z").alias("ng"), F.avg("z").alias("zbar_g"))
-    ss_within = (z.join(zg, sample).groupBy(sample)
-                 .agg(F.sum((F.col("z") - F.col("zbar_g")) ** 2).alias("ssw_g")))
-    g = members.join(zg, sample).join(ss_within, sample)
+    zg = z.groupBy(sample).agg(F.count("z").alias("ng"), F.avg("z").alias("zbar_g"), (F.count("z") * F.var_pop("z")).alias("ssw_g"))
+    g = members.join(zg, sample)
     tot = g.groupBy("pair_id").agg(F.sum("ng").alias("N"), (F.sum(F.col("ng") * F.col("zbar_g")) / F.sum("ng")).alias("zbar"))
     g = g.join(tot, "pair_id")
     agg = g.groupBy("pair_id").agg(
         F.first("N").alias("N"), F.count(F.lit(1)).alias("k"),
         F.sum(F.col("ng") * (F.col("zbar_g") - F.col("zbar")) ** 2).alias("ssb"),
         F.sum("ssw_g").alias("ssw"))
-    w = (F.col("N") - F.col("k")) / (F.col("k") - 1) * F.col("ssb") / F.col("ssw")
+    w = F.try_divide(F.try_divide(F.col("N") - F.col("k"), F.col("k") - 1) * F.col("ssb"), F.col("ssw"))
     return pr.join(agg, "pair_id").select("pair_id", "sample_a", "sample_b", w.alias("w"),
                                           (F.col("k") - 1).cast("double").alias("df1"),
                                           (F.col("N") - F.col("k")).cast("double").alias("df2"))
@@ -222,10 +232,12 @@ def group_ranks(df: DataFrame, group: str, value: str, out: str = "rank", partit
     number rows inside each partition, and add the counts of the earlier
     partitions of the same group (one row per (partition, group) that occurs:
     about #groups + #partitions rows).  A hot group is split over many
-    partitions by value, so no task holds a whole group."""
+    partitions by value, and ties by a row number, so no task holds a whole
+    group or a whole run of ties.  Null groups are groups like any other."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, F.col(group), F.col(value)).sortWithinPartitions(group, value)
+    s = (df.withColumn("_tie", F.monotonically_increasing_id())
+           .repartitionByRange(n, F.col(group), F.col(value), F.col("_tie")).sortWithinPartitions(group, value, "_tie").drop("_tie")
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     # the range bounds come from a sample, so two evaluations of ``s`` could
@@ -238,7 +250,7 @@ def group_ranks(df: DataFrame, group: str, value: str, out: str = "rank", partit
     w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     # blocks has about #groups + #partitions rows; AQE broadcasts it when small
-    j = s.join(blocks.select("_pid", group, "_first", "_off"), ["_pid", group])
+    j = _join_null_safe(s, blocks.select("_pid", group, "_first", "_off"), ["_pid", group])
     return j.withColumn(out, (F.col("_row") - F.col("_first") + F.col("_off") + 1).cast("long")).drop("_pid", "_row", "_first", "_off")
 
 

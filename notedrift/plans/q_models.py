@@ -211,13 +211,17 @@ def q_random_forest(spark, sf_dir):
 @register("logistic")
 def q_logistic(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    return _score(MD.logistic(1.0, 400).fit(tr).transform(te), "logistic")
+    return _score(MD.logistic(1.0, tr.count()).fit(tr).transform(te), "logistic")
 
 
 @register("ridge")
 def q_ridge(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    pred = MD.ridge(1.0, 400, label="x1").fit(tr.withColumn("features", F.col("features"))).transform(te)
+    # the target x1 is the first coordinate, so it is taken out of the features
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    rest = lambda d: d.withColumn("features", array_to_vector(F.expr("slice(_a, 2, size(_a) - 1)")))
+    tr, te = (rest(d.withColumn("_a", vector_to_array("features"))) for d in (tr, te))
+    pred = MD.ridge(1.0, tr.count(), label="x1").fit(tr).transform(te)
     return M.rmse(pred, "x1", "prediction").select(F.lit("ridge").alias("model"), "rmse")
 
 

@@ -255,7 +255,7 @@ SELECT CAST(count(*) AS BIGINT) AS rows_in, CAST(count(*) * {len(A.quarter_end_c
 def q_row_ratio_check(spark, sf_dir):
     wide = A.panel_wide(spark, sf_dir)
     long = reshape.unpivot_calendar(wide, ["symbol"])
-    return reshape.row_ratio_check(wide, long, len(A.quarter_end_columns()))
+    return reshape.row_ratio_check(wide, long, len(wide.columns) - 1)
 
 
 _SEGMENT_LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")

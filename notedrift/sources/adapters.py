@@ -141,9 +141,10 @@ def quarter_end_columns(first_year: int = 1995, last_year: int = 2001) -> list[s
 
 def panel_wide(spark: SparkSession, sf_dir: str, value: str = "revenue") -> DataFrame:
     """Wide calendar sheet: one row per company, one column per quarter-end
-    date (the panel pivoted with an explicit, rule-built column list)."""
+    date of the years that occur (one min/max, then a rule-built column list)."""
     p = panel(spark, sf_dir)
-    cols = quarter_end_columns()
+    span = p.agg(F.min("year").alias("first"), F.max("year").alias("last")).first()
+    cols = quarter_end_columns(span["first"], span["last"]) if span["first"] is not None else quarter_end_columns()
     key = F.date_format(F.last_day(F.make_date(F.col("year"), F.col("quarter") * 3, F.lit(1))), "yyyy-MM-dd")
     return (p.withColumn("_d", key).groupBy("symbol").pivot("_d", cols).agg(F.first(value)))
 
