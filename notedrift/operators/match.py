@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .revisions import assert_unique
@@ -87,11 +87,13 @@ def match_prior_filings(df: DataFrame, entity: str = "crp_cd", period: str = "pe
     lags = dict(lags or {"q": 1, "y": 4})
     first = (df.groupBy(entity, period)
                .agg(F.min_by(F.col(id_col), F.struct(*[F.col(c) for c in order])).alias("_first")))
-    out = df
-    for name, lag in lags.items():
-        look = first.select(F.col(entity), (F.col(period) + lag).alias(period), F.col("_first").alias(f"prior_{name}"))
-        out = out.join(look, [entity, period], "left")
-    return out
+    # every candidate is sent to each quarter that looks back at it, so all lags take one pass and one join
+    targets = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(lag).alias("lag")) for name, lag in lags.items()])
+    look = (first.select(entity, period, "_first", F.explode(targets).alias("_t"))
+                 .select(entity, (F.col(period) + F.col("_t.lag")).alias(period), "_first", F.col("_t.name").alias("_name"))
+                 .groupBy(entity, period)
+                 .agg(*[F.max(F.when(F.col("_name") == name, F.col("_first"))).alias(f"prior_{name}") for name in lags]))
+    return df.join(look, [entity, period], "left")
 
 
 def prefix_range_join(df: DataFrame, ranges: DataFrame, key: Sequence[str], code: str = "ind_cd",
@@ -130,9 +132,3 @@ def exclude_ids(df: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
 def attach_by_key(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Keyed side-by-side attachment (replaces positional hstack)."""
     return a.join(b, list(on), how)
-
-
-def nearest_by(df: DataFrame, keys: Sequence[str], rank: Column, value_cols: Sequence[str]) -> DataFrame:
-    """E11 helper: per key, the row with the smallest ``rank`` struct."""
-    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in value_cols]), rank).alias("_n"))
-    return agg.select(*keys, *[F.col(f"_n.{c}").alias(c) for c in value_cols])

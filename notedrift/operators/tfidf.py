@@ -7,8 +7,9 @@ L2-normalised per document; terms in more than ``max_df`` documents or fewer
 than ``min_df`` are dropped first (an int is a count, a float a share of n).
 
 Skew: very common terms are hot keys for the term-keyed join.  Document
-frequencies are pre-aggregated (map-side partial counts); the most frequent
-terms are joined by broadcast (top-k, bounded) so they never enter a shuffle.
+frequencies are pre-aggregated (map-side partial counts); the rows of the most
+frequent terms (top-k, bounded) meet their idf by broadcast, and only the rows of
+the other terms are shuffled by term.
 """
 
 from __future__ import annotations
@@ -29,12 +30,6 @@ def _limit(value, n: Column) -> Column:
     return F.lit(float(value)) * n
 
 
-def term_counts(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, term, tf) from an array-of-tokens column."""
-    return (df.select(F.col(id_col).alias("id"), F.explode(tokens).alias("term"))
-              .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
 def tfidf(df: DataFrame, id_col: str, text_col: str | None = None, *, tokens: Column | None = None,
           max_df: float | int | None = 0.95, min_df: float | int | None = 0,
           pattern: str = TOKEN_PATTERN, hot_terms: int = 10000, materialize_counts: bool = True) -> DataFrame:
@@ -56,38 +51,33 @@ def tfidf(df: DataFrame, id_col: str, text_col: str | None = None, *, tokens: Co
     """
     if tokens is None:
         tokens = tokenize(F.col(text_col), pattern)
-    docs = df.select(F.col(id_col).alias("id"), tokens.alias("_tokens"))
-    n = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-    tf = (docs.select("id", F.explode("_tokens").alias("term"))
-              .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    # documents are dealt by id before their tokens are exploded: the counts per
+    # (id, term) then need no shuffle of their own
+    n = df.select(F.count(F.lit(1)).cast("double")).scalar()
+    tf = (df.repartition(F.col(id_col)).select(F.col(id_col).alias("id"), F.explode(tokens).alias("term"))
+            .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
     if materialize_counts:
         from ..session import materialize
         tf = materialize(tf, "term_counts")
-    dfreq_counts = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    dfreq = dfreq_counts
+    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     keep = F.lit(True)
     hi, lo = _limit(max_df, n), _limit(min_df, n)
     if hi is not None:
         keep = keep & (F.col("df") <= hi)
     if lo is not None:
         keep = keep & (F.col("df") >= lo)
-    dfreq = dfreq.select("term", keep.alias("_keep"),
+    dfreq = dfreq.select("term", "df", keep.alias("_keep"),
                          (F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1).alias("idf"))
+    kept = dfreq.filter(F.col("_keep")).select("term", "idf")
     if hot_terms and hot_terms > 0:
-        hot = (dfreq.join(dfreq_counts.orderBy(F.col("df").desc(), "term").limit(hot_terms).select("term"), "term", "left_semi")
-                    .select("term", F.col("_keep").alias("_hkeep"), F.col("idf").alias("_hidf")))
-        # hot terms get their idf from the broadcast; their rows then carry a
-        # spread-out dummy key into the shuffle join, so the term-keyed
-        # partitions only hold cold terms
-        tagged = tf.join(F.broadcast(hot), "term", "left")
-        ck = F.when(F.col("_hidf").isNull(), F.col("term")).otherwise(
-            F.concat(F.lit("\u0001"), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string")))
-        cold = dfreq.select(F.col("term").alias("_ck"), F.col("_keep").alias("_ckeep"), F.col("idf").alias("_cidf"))
-        joined = tagged.withColumn("_ck", ck).join(cold, "_ck", "left")
-        keyed = (joined.filter(F.coalesce(F.col("_hkeep"), F.col("_ckeep"), F.lit(False)))
-                       .select("id", "term", "tf", F.coalesce(F.col("_hidf"), F.col("_cidf")).alias("idf")))
+        # the rows of hot terms meet their idf by broadcast and stay where they
+        # are; only the rows of the other terms are shuffled by term
+        hot = dfreq.orderBy(F.col("df").desc(), "term").limit(hot_terms)
+        near = tf.join(F.broadcast(hot.filter(F.col("_keep")).select("term", "idf")), "term", "inner")
+        far = tf.join(F.broadcast(hot.select("term")), "term", "left_anti").join(kept, "term", "inner")
+        keyed = near.select("id", "term", "tf", "idf").unionByName(far.select("id", "term", "tf", "idf"))
     else:
-        keyed = tf.join(dfreq.filter(F.col("_keep")).drop("_keep"), "term", "inner")
+        keyed = tf.join(kept, "term", "inner")
     w = keyed.select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     # per-document L2 norm as a window: one shuffle by document, and the
     # result stays partitioned by document for the pair join that follows
