@@ -10,22 +10,24 @@ approximation of the RBF kernel, stated as such.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler, PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import stratified_folds
+from .features import seeded_uniform, stratified_folds
 from .metrics import classification_metrics, rmse
 
 
@@ -67,6 +69,25 @@ def complement_nb(features: str = "features", label: str = "label") -> NaiveBaye
     return NaiveBayes(modelType="complement", smoothing=1.0, featuresCol=features, labelCol=label)
 
 
+class NonNegative(Transformer):
+    """Negative entries of a vector column become 0 (the vectors become dense)."""
+
+    def __init__(self, col: str, out: str):
+        super().__init__()
+        self.col, self.out = col, out
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        held = F.transform(vector_to_array(self.col), lambda v: F.greatest(v, F.lit(0.0)))
+        return dataset.withColumn(self.out, array_to_vector(held)).drop(self.col)
+
+
+def scaled(estimator, inputs: str = "features", out: str = "nn") -> Pipeline:
+    """Min-max scaling and the estimator in one Pipeline, so that the scaler learns from the
+    training rows alone; unseen values under their minimum count as the minimum, since
+    complement NB takes no negative features."""
+    return Pipeline(stages=[MinMaxScaler(inputCol=inputs, outputCol="_scaled"), NonNegative("_scaled", out), estimator])
+
+
 def random_forest(features: str = "features", label: str = "label") -> RandomForestClassifier:
     """100 trees of depth 2, seed 0."""
     return RandomForestClassifier(numTrees=100, maxDepth=2, seed=0, featuresCol=features, labelCol=label)
@@ -88,6 +109,15 @@ def linear_svm_ovr(c: float = 1.0, features: str = "features", label: str = "lab
     return OneVsRest(classifier=LinearSVC(regParam=1.0 / c, maxIter=max_iter), featuresCol=features, labelCol=label)
 
 
+def bootstrap(df: DataFrame, id_col: str, rate: float, seed: int) -> DataFrame:
+    """Rows drawn with replacement: each occurs a Poisson(rate) number of times,
+    decided by its seeded key, so the draw does not depend on partitioning."""
+    weights = rate ** np.arange(12) * np.exp(-rate) / np.cumprod(np.maximum(np.arange(12), 1))
+    u = seeded_uniform(id_col, seed)
+    times = sum((u >= F.lit(float(c))).cast("int") for c in np.cumsum(weights))
+    return (df.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).drop("_times"))
+
+
 def bagged_rbf_svm(train: DataFrame, test: DataFrame, col: str, n_features: int, id_col: str = "id",
                    label: str = "label", n_estimators: int = 5, max_samples: float = 0.2, dim: int = 256,
                    seed: int = 0, c: float = 1.0, max_iter: int = 25) -> DataFrame:
@@ -95,13 +125,14 @@ def bagged_rbf_svm(train: DataFrame, test: DataFrame, col: str, n_features: int,
     of ``max_samples`` of the training rows, majority vote (ties: lowest class).
     Returns (id, label, prediction) for ``test``."""
     tr = rff_map(train, col, dim, n_features, seed=seed).persist()
-    te = rff_map(test, col, dim, n_features, seed=seed).persist()
+    te = rff_map(test, col, dim, n_features, seed=seed)
     votes = None
     for m in range(n_estimators):
-        bag = tr.sample(withReplacement=True, fraction=max_samples, seed=seed * 100 + m)
+        bag = bootstrap(tr, id_col, max_samples, seed * 100 + m)
         model = linear_svm_ovr(c, "rff", label, max_iter).fit(bag)
         p = model.transform(te).select(id_col, label, F.col("prediction").cast("long").alias("p"))
         votes = p if votes is None else votes.unionByName(p)
+    tr.unpersist()
     counts = votes.groupBy(id_col, label, "p").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(id_col, label).agg(F.max_by("p", F.struct(F.col("n"), -F.col("p"))).alias("prediction"))
     return best
@@ -118,20 +149,34 @@ def rbf_svm(train: DataFrame, test: DataFrame, col: str, n_features: int, id_col
 
 # ------------------------------------------------------------------ experiments
 def repeated_cv(df: DataFrame, make_estimator: Callable[[], object], id_col: str = "id", label: str = "label",
-                k: int = 5, seeds: Sequence[int] = range(30)) -> DataFrame:
+                k: int = 5, seeds: Sequence[int] = range(30), parallel: int = 8) -> DataFrame:
     """For every seed, stratified k folds; fit on k-1, score on the held-out
-    fold.  Long result ``(seed, fold, accuracy, f1_macro)``."""
-    rows = []
+    fold.  Long result ``(seed, fold, accuracy, f1_macro)``.
+
+    The fits are independent; ``parallel`` of them are submitted at a time.
+    Preparation that learns from the data (scaling) belongs into the estimator
+    (a Pipeline), so that each fold fits it on its training part alone."""
+    from ..session import materialize
+    folded = None
     for seed in seeds:
-        folded = stratified_folds(df, id_col, label, k, seed).persist()
-        for fold in range(k):
-            model = make_estimator().fit(folded.filter(F.col("fold") != fold))
-            pred = model.transform(folded.filter(F.col("fold") == fold))
-            m = classification_metrics(pred.select(F.col(label).cast("long").alias("label"),
-                                                   F.col("prediction").cast("long").alias("prediction")))
-            r = m.collect()[0]  # one metric row per fit
-            rows.append((seed, fold, float(r["accuracy"]), float(r["f1_macro"])))
-        folded.unpersist()
+        one = stratified_folds(df.select(id_col, label), id_col, label, k, seed).select(id_col, F.lit(seed).alias("_seed"), "fold")
+        folded = one if folded is None else folded.unionByName(one)
+    folded = materialize(folded, "folds")
+    data = df.persist()
+
+    def fit(task: tuple[int, int]) -> tuple:
+        seed, fold = task
+        own = data.join(folded.filter(F.col("_seed") == seed), id_col)
+        model = make_estimator().fit(own.filter(F.col("fold") != fold))
+        pred = model.transform(own.filter(F.col("fold") == fold))
+        m = classification_metrics(pred.select(F.col(label).cast("long").alias("label"),
+                                               F.col("prediction").cast("long").alias("prediction")))
+        r = m.collect()[0]  # one metric row per fit
+        return seed, fold, float(r["accuracy"]), float(r["f1_macro"])
+
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), [(s, f) for s in seeds for f in range(k)]))
+    data.unpersist()
     return df.sparkSession.createDataFrame(rows, "seed INT, fold INT, accuracy DOUBLE, f1_macro DOUBLE")
 
 

@@ -425,3 +425,60 @@ def q_read_panel(spark, sf_dir):
     schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_nationkey", T.IntegerType()),
                            T.StructField("c_mktsegment", T.StringType())])
     return io.read_panel(spark, f"{sf_dir.rstrip('/')}/customer.parquet", schema)
+
+
+def _written(spark, name: str) -> str:
+    """A new folder for a written table, beside the other tables of the shared checkpoint folder."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/notedrift-tables/{name}-{uuid.uuid4().hex}"
+
+
+@register("read_codes", "SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS crp_cd, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS ind_cd FROM customer")
+def q_read_codes(spark, sf_dir):
+    """A4 over A7: codes written as CSV and read as strings, leading zeros kept."""
+    from ..sources import io
+    from ..sources.tables import table
+    c = table(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("crp_cd"),
+                                                F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("ind_cd"))
+    return io.read_codes(spark, io.write_csv(c, _written(spark, "codes")), ["crp_cd", "ind_cd"])
+
+
+@register("write_csv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def q_write_csv(spark, sf_dir):
+    """A table written as UTF-8 CSV with a header, read back."""
+    from ..sources import io
+    from ..sources.tables import table
+    path = io.write_csv(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), _written(spark, "csv"))
+    return spark.read.option("header", True).csv(path)
+
+
+@register("write_stage", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def q_write_stage(spark, sf_dir):
+    """A stage written by status and read back."""
+    from ..sources import io
+    from ..sources.tables import table
+    path = io.write_stage(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), _written(spark, "stage"), ["o_orderstatus"])
+    return spark.read.parquet(path)
+
+
+@register("filings_scan", with_views(["filings"], """
+SELECT crp_cd, rpt_nm, rcp_no, dic_cls, CAST(rcp_dt AS VARCHAR) AS rcp_dt, length(foot_note) AS note_chars FROM filings"""))
+def q_filings_scan(spark, sf_dir):
+    """A10: filings written as page files and scanned with the fixed schema of strings."""
+    from ..sources import io
+    f = A.filings(spark, sf_dir)
+    f = f.select(*[(F.col(c) if c in f.columns else F.lit(None)).cast("string").alias(c) for c in io.FILING_SCHEMA.names])
+    got = io.filings_scan(spark, io.write_stage(f, _written(spark, "filings")))
+    return got.select("crp_cd", "rpt_nm", "rcp_no", "dic_cls", "rcp_dt", F.char_length("foot_note").cast("long").alias("note_chars"))
+
+
+@register("results_scan", "SELECT 'm' || i AS metric, count(*) AS n, round(avg(CAST(embedding[CAST(i AS INT)] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 11) r(i) GROUP BY i")
+def q_results_scan(spark, sf_dir):
+    """Ten positional score columns read from CSV, named, and unpivoted."""
+    from ..sources import io
+    from ..sources.tables import table
+    e = table(spark, sf_dir, "embeddings").select(*[F.get("embedding", i).cast("double").alias(f"c{i}") for i in range(10)])
+    got = io.results_scan(spark, io.write_csv(e, _written(spark, "results")), [f"m{i}" for i in range(1, 11)])
+    return io.unpivot_results(got).groupBy("metric").agg(F.count("value").alias("n"), r6(F.avg("value")).alias("mean"))

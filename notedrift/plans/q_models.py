@@ -142,21 +142,26 @@ def q_ols_fit(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- models (rows-only)
-@register("assemble_features")
+@register("assemble_features", with_views(["ml_frame"], """
+SELECT id, label, CAST(i - 1 AS INT) AS pos, round(CAST(list_concat(emb, [x1, x2])[i] AS DOUBLE), 6) AS value
+FROM ml_frame, LATERAL (SELECT unnest(range(1, len(emb) + 3)) AS i)"""))
 def q_assemble_features(spark, sf_dir):
     """Text-side vector (embedding) and numeric columns attached by key."""
     ml = _ml(spark, sf_dir)
     num = ml.select("id", "x1", "x2")
     j = match.attach_by_key(ml.select("id", "emb", "label"), num, ["id"])
     v = FT.assemble_features(j, ["emb", "x1", "x2"])
-    return v.select("id", "label", F.size(vector_to_array("features")).alias("width"))
+    return (v.select("id", "label", F.posexplode(vector_to_array("features")).alias("pos", "value"))
+             .withColumn("value", r6("value")))
 
 
-@register("polynomial_features")
+@register("polynomial_features", with_views(["ml_frame"], """
+SELECT id, round(x1, 6) AS p1, round(x1 * x1, 6) AS p2, round(x2, 6) AS p3, round(x1 * x2, 6) AS p4, round(x2 * x2, 6) AS p5 FROM ml_frame"""))
 def q_polynomial_features(spark, sf_dir):
     v = FT.assemble_features(_ml(spark, sf_dir), ["x1", "x2"], "xy")
     out = MD.polynomial_features(v, "xy", 2)
-    return out.select("id", F.size(vector_to_array("poly")).alias("width"))
+    a = vector_to_array("poly")
+    return out.select("id", *[r6(a[i]).alias(f"p{i + 1}") for i in range(5)])
 
 
 @register("pca")
@@ -193,13 +198,9 @@ def q_rbf_svm(spark, sf_dir):
 
 @register("complement_nb")
 def q_complement_nb(spark, sf_dir):
-    from pyspark.ml.feature import MinMaxScaler
-    # complement NB needs non-negative inputs: the scaler is fitted on all rows,
-    # as the reference does (its scaling precedes the split)
-    v = FT.train_test_split(_vec(spark, sf_dir), "id", 0.2, 0)
-    v = MinMaxScaler(inputCol="features", outputCol="nn").fit(v).transform(v)
-    model = MD.complement_nb("nn").fit(v.filter(~F.col("is_test")))
-    return _score(model.transform(v.filter(F.col("is_test"))), "complement_nb")
+    # complement NB needs non-negative inputs; the scaler learns from the training rows alone
+    tr, te = _split(spark, sf_dir)
+    return _score(MD.scaled(MD.complement_nb("nn")).fit(tr).transform(te), "complement_nb")
 
 
 @register("random_forest")
@@ -248,11 +249,8 @@ def q_nested_cv(spark, sf_dir):
 
 @register("repeated_cv")
 def q_repeated_cv(spark, sf_dir):
-    """Complement NB on min-max scaled embeddings, 5 folds x 3 seeds."""
-    from pyspark.ml.feature import MinMaxScaler
-    v = _vec(spark, sf_dir)
-    v = MinMaxScaler(inputCol="features", outputCol="nn").fit(v).transform(v)
-    return MD.repeated_cv(v, lambda: MD.complement_nb("nn"), seeds=range(3))
+    """Complement NB on embeddings, min-max scaled inside the fold, 5 folds x 3 of the operator's 30 seeds."""
+    return MD.repeated_cv(_vec(spark, sf_dir), lambda: MD.scaled(MD.complement_nb("nn")), seeds=range(3))
 
 
 @register("ml_stages")
@@ -272,8 +270,6 @@ def q_text_signal_experiment(spark, sf_dir):
     company bucket (G1) of the next calendar quarter (E4), min-max scaling,
     complement NB, stratified 5-fold CV repeated over seeds (J18), then the
     one-sided two-sample test of the per-seed accuracies (K8)."""
-    from pyspark.ml.feature import MinMaxScaler
-
     from ..functions import periods as P
     from ..operators import buckets as B
     from ..operators import stats as S
@@ -294,8 +290,7 @@ def q_text_signal_experiment(spark, sf_dir):
     rows = None
     for variant, cols in (("numeric", ["qty", "revenue"]), ("text", ["qty", "revenue", "dist_q"])):
         v = FT.assemble_features(data, cols, "raw")
-        v = MinMaxScaler(inputCol="raw", outputCol="features").fit(v).transform(v).persist()
-        res = MD.repeated_cv(v, lambda: MD.complement_nb("features"), seeds=range(3))
+        res = MD.repeated_cv(v, lambda: MD.scaled(MD.complement_nb("nn"), "raw"), seeds=range(3))
         res = res.withColumn("variant", F.lit(variant))
         rows = res if rows is None else rows.unionByName(res)
     per_seed = rows.groupBy("variant", "seed").agg(F.avg("accuracy").alias("accuracy"))
@@ -305,3 +300,15 @@ def q_text_signal_experiment(spark, sf_dir):
 def valid_period(spark, sf_dir):
     from .q_filings import valid_notes
     return valid_notes(spark, sf_dir).select("rcp_no", "period")
+
+
+@register("write_vectors", with_views(["ml_frame"], """
+SELECT id, CAST(i - 1 AS INT) AS pos, round(CAST(emb[i] AS DOUBLE), 6) AS value
+FROM ml_frame, LATERAL (SELECT unnest(range(1, len(emb) + 1)) AS i)"""))
+def q_write_vectors(spark, sf_dir):
+    """Feature vectors stored by key and read back."""
+    from ..sources import io
+    from .q_filings import _written
+    path = io.write_vectors(_vec(spark, sf_dir), _written(spark, "vectors"), "id")
+    return (io.read_vectors(spark, path).select("id", F.posexplode(vector_to_array("features")).alias("pos", "value"))
+              .withColumn("value", r6("value")))
