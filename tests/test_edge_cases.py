@@ -39,3 +39,18 @@ def test_rolling_forms_agree(spark):
     df = spark.range(200).select((F.col("id") % 3).alias("symbol"), F.col("id").alias("period"), (F.col("id") * 37 % 101).cast("double").alias("v"))
     a, b = (sorted(map(tuple, buckets.bucket_rolling(df, "v", method=m).collect())) for m in ("window", "ranks"))
     assert a == b
+
+
+def test_bootstrap_does_not_depend_on_partitioning(spark):
+    from notedrift.operators.models import bootstrap
+    rows = spark.range(4000)
+    one, two = (sorted(r.id for r in bootstrap(rows.repartition(n), "id", .2, 7).collect()) for n in (2, 5))
+    assert one == two and 650 < len(one) < 950 and len(set(one)) < len(one)
+
+
+def test_prior_filings_by_all_lags(spark):
+    from notedrift.operators.match import match_prior_filings
+    rows = spark.createDataFrame([("a", 1, 10, 1), ("a", 2, 11, 1), ("a", 2, 12, 2), ("a", 5, 13, 1), ("a", 6, 14, 1), ("b", 2, 15, 1), (None, 3, 16, 1)],
+                                 "crp_cd string, period int, rcp_no int, rcp_dt int")
+    got = {r.rcp_no: (r.prior_q, r.prior_y) for r in match_prior_filings(rows).collect()}
+    assert got == {10: (None, None), 11: (10, None), 12: (10, None), 13: (None, 10), 14: (13, 11), 15: (None, None), 16: (None, None)}
