@@ -278,3 +278,16 @@ def test_pipeline_stages_keep_their_contract(spark):
         if name == "PII":
             assert not any(brute_spans(r.text or "") for r in docs.collect())
     assert docs.select("doc_id").distinct().count() == before
+
+
+def test_search_ties_of_many_copies(spark, monkeypatch):
+    """Copies tie in all shards: the least ids stay, null first; a copy beyond k is never among the best."""
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 16)
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 4)
+    rows = [(i, "one copied text") for i in range(70, 10, -1)] + [(None, "one copied text"), (5, "another"), (6, None), (7, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.defaultdict(list)
+    for r in bm25.search(docs, docs.where("doc_id in (5, 6, 20, 70)"), k=4).collect():
+        got[r.query_id].append((r["rank"], r.doc_id))
+    best = [(1, None), (2, 11), (3, 12), (4, 13)]
+    assert {q: sorted(v) for q, v in got.items()} == {5: [(1, 5)], 20: best, 70: best}
