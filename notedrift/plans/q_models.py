@@ -9,6 +9,7 @@ from ..operators import match
 from pyspark.ml.functions import vector_to_array
 from ..operators import metrics as M
 from ..operators import models as MD
+from ..operators import nb_cv as NB
 from ..sources import adapters as A
 from ..sources.tables import table
 from .q_filings import r6
@@ -247,10 +248,46 @@ def q_nested_cv(spark, sf_dir):
     return MD.nested_cv(_vec(spark, sf_dir).persist(), est, {est.regParam: [0.1, 1.0]}, k_outer=3, k_inner=2)
 
 
-@register("repeated_cv")
+_NB_CV_SQL = """
+WITH pts AS (SELECT id, label, unnest(range(0, len(emb))) AS feature, CAST(unnest(emb) AS DOUBLE) AS value FROM ml_frame),
+folds AS (SELECT id, label, CAST(s AS INTEGER) AS seed,
+                 CAST((row_number() OVER (PARTITION BY s, label ORDER BY md5(CAST(id AS VARCHAR) || '|' || CAST(s AS VARCHAR)), id) - 1) % 5 AS INTEGER) AS fold
+          FROM ml_frame, range(0, 30) r(s)),
+x AS (SELECT f.seed, f.fold, p.* FROM folds f JOIN pts p USING (id)),
+held AS (SELECT x.*, h AS held FROM x, range(0, 5) r(h) WHERE x.fold <> h),
+rng AS (SELECT seed, held, feature, min(value) AS lo, max(value) AS hi FROM held GROUP BY ALL),
+cs AS (SELECT seed, held, feature, label, sum(CASE WHEN hi = lo THEN 0.5 ELSE (value - lo) / (hi - lo) END) AS s
+       FROM held JOIN rng USING (seed, held, feature) GROUP BY ALL),
+alls AS (SELECT seed, held, feature, sum(s) AS s FROM cs GROUP BY ALL),
+comp AS (SELECT a.seed, a.held, a.feature, l.label, a.s - coalesce(c.s, 0) + 1.0 AS c
+         FROM alls a JOIN (SELECT DISTINCT label FROM ml_frame) l ON true
+         LEFT JOIN cs c ON c.seed = a.seed AND c.held = a.held AND c.feature = a.feature AND c.label = l.label),
+w AS (SELECT seed, held, feature, label, ln(sum(c) OVER (PARTITION BY seed, held, label) / c) AS w FROM comp),
+sc AS (SELECT x.seed, x.fold, x.id, x.label, w.label AS cls,
+              sum(greatest(CASE WHEN hi = lo THEN 0.5 ELSE (x.value - lo) / (hi - lo) END, 0) * w.w) AS p
+       FROM x JOIN rng ON rng.seed = x.seed AND rng.held = x.fold AND rng.feature = x.feature
+              JOIN w ON w.seed = x.seed AND w.held = x.fold AND w.feature = x.feature GROUP BY ALL),
+pred AS (SELECT seed, fold, id, label, cls FROM sc QUALIFY row_number() OVER (PARTITION BY seed, id ORDER BY p DESC, cls) = 1),
+c AS (SELECT seed, fold, label AS cls FROM pred UNION SELECT seed, fold, cls FROM pred),
+per AS (SELECT c.seed, c.fold, c.cls, count(*) FILTER (p.label = c.cls AND p.cls = c.cls) AS tp,
+               count(*) FILTER (p.label = c.cls) AS nt, count(*) FILTER (p.cls = c.cls) AS np
+        FROM c JOIN pred p ON p.seed = c.seed AND p.fold = c.fold GROUP BY ALL)
+SELECT seed, fold, round(sum(tp) / sum(nt), 6) AS accuracy, round(avg(2.0 * tp / (nt + np)), 6) AS f1_macro
+FROM per GROUP BY seed, fold"""
+
+
+def _points(df, col: str):
+    """The entries of an array column as (id, feature, value), to be scaled."""
+    return (df.select("id", F.posexplode(col).alias("feature", "value"))
+              .select("id", F.col("feature").cast("string").alias("feature"), F.col("value").cast("double").alias("value"), F.lit(True).alias("scale")))
+
+
+@register("repeated_cv", with_views(["ml_frame"], _NB_CV_SQL))
 def q_repeated_cv(spark, sf_dir):
-    """Complement NB on embeddings, min-max scaled inside the fold, 5 folds x 3 of the operator's 30 seeds."""
-    return MD.repeated_cv(_vec(spark, sf_dir), lambda: MD.scaled(MD.complement_nb("nn")), seeds=range(3))
+    """Complement NB on embeddings, min-max scaled inside the fold, 5 folds x 30 seeds."""
+    ml = _ml(spark, sf_dir)
+    out = NB.repeated_nb_cv(_points(ml, "emb"), ml.select("id", "label"))
+    return out.select("seed", "fold", r6("accuracy").alias("accuracy"), r6("f1_macro").alias("f1_macro"))
 
 
 @register("ml_stages")
@@ -262,44 +299,75 @@ def q_ml_stages(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- end-to-end experiment
-@register("text_signal_experiment")
-def q_text_signal_experiment(spark, sf_dir):
-    """The reference's experiment end to end: does the note change help to
-    predict next quarter's 3-class bucket?  Panel features (+ the prior-quarter
-    note distance of the company's first filing of the quarter), target = the
-    company bucket (G1) of the next calendar quarter (E4), min-max scaling,
-    complement NB, stratified 5-fold CV repeated over seeds (J18), then the
-    one-sided two-sample test of the per-seed accuracies (K8)."""
+def _experiment(spark, sf_dir, placebo: bool = False):
+    """Every resolved filing with its panel features (A: qty, revenue), note distance, TF-IDF
+    weights and next-quarter class, as (data, points of the numbers, points of the text).
+
+    ``placebo``: a filing carries the weights of the conversation turn at its position
+    instead of its own note's (J22)."""
     from ..functions import periods as P
+    from ..functions import text as X
     from ..operators import buckets as B
-    from ..operators import stats as S
-    from .q_filings import note_change
+    from ..operators import tfidf
+    from ..session import materialize
+    from .q_filings import note_change, valid_notes
 
     panel = A.panel(spark, sf_dir)
     lab = B.bucket_by_entity(panel, "avg_price", out="label")
-    data = match.attach_next_period_target(lab.select("symbol", "period", "qty", "revenue", "label"), ["label"],
-                                           features=["qty", "revenue"], cast="long")
-    nc = note_change(spark, sf_dir)
-    first = (nc.withColumn("symbol", P.symbol_key("crp_cd"))
-               .join(valid_period(spark, sf_dir), "rcp_no")
-               .groupBy("symbol", "period").agg(F.min_by("dist_q", "rcp_no").alias("dist_q")))
-    data = data.join(first, ["symbol", "period"], "inner").na.drop(subset=["dist_q"])
-    data = data.withColumn("id", F.xxhash64("symbol", "period")).withColumn("label", F.col("label_next"))
-    from ..session import materialize
-    data = materialize(data, "experiment_input")  # every fit reads it
+    target = match.attach_next_period_target(lab.select("symbol", "period", "qty", "revenue", "label"), ["label"],
+                                             features=["qty", "revenue"], cast="long")
+    notes = valid_notes(spark, sf_dir).select("rcp_no", "period", P.symbol_key("crp_cd").alias("symbol"),
+                                              X.normalize_note("foot_note").alias("text"))
+    data = notes.join(target, ["symbol", "period"]).join(note_change(spark, sf_dir).select("rcp_no", "dist_q"), "rcp_no")
+    data = data.na.drop(subset=["dist_q"]).select(F.col("rcp_no").alias("id"), F.col("label_next").alias("label"),
+                                                  "qty", "revenue", "dist_q", "text")
+    data = materialize(data, "experiment_input")  # read by the weights, the folds and the points
+    source = data.select("id", "text")
+    if placebo:
+        key = F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 20, "0"), F.lpad(F.col("turn").cast("string"), 10, "0"))
+        other = table(spark, sf_dir, "conversations").select(key.alias("key"), "text")
+        pair = materialize(FT.align_by_position(data.select("id"), "id", other, "key"), "placebo_pairs")
+        source = pair.select("id", "text")
+        data = data.join(pair.select("id"), "id", "left_semi")
+    weights = materialize(tfidf.tfidf(source, "id", "text"), "experiment_weights")
+    numbers = lambda cols: data.select("id", F.explode(F.array(*(
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols))).alias("f")).select(
+        "id", F.concat(F.lit("#"), F.col("f.feature")).alias("feature"), "f.value", F.lit(True).alias("scale"))
+    text = weights.select("id", F.col("term").alias("feature"), F.col("weight").alias("value"), F.lit(False).alias("scale"))
+    return data, numbers, text
+
+
+@register("text_signal_experiment")
+def q_text_signal_experiment(spark, sf_dir):
+    """Does the note change help to predict next quarter's company bucket?  Every filing with panel
+    features and its note distance, target the bucket (G1) of the next calendar quarter (E4), scaling
+    inside the fold, complement NB, 5 folds x 30 seeds (J18), then the one-sided test of the
+    accuracies per seed (K8)."""
+    from ..operators import stats as S
+    data, numbers, _ = _experiment(spark, sf_dir)
     rows = None
     for variant, cols in (("numeric", ["qty", "revenue"]), ("text", ["qty", "revenue", "dist_q"])):
-        v = FT.assemble_features(data, cols, "raw")
-        res = MD.repeated_cv(v, lambda: MD.scaled(MD.complement_nb("nn"), "raw"), seeds=range(3))
-        res = res.withColumn("variant", F.lit(variant))
+        res = NB.repeated_nb_cv(numbers(cols), data.select("id", "label")).withColumn("variant", F.lit(variant))
         rows = res if rows is None else rows.unionByName(res)
     per_seed = rows.groupBy("variant", "seed").agg(F.avg("accuracy").alias("accuracy"))
     return S.compare_samples(per_seed, "accuracy", "variant", [("numeric", "text")])
 
 
-def valid_period(spark, sf_dir):
-    from .q_filings import valid_notes
-    return valid_notes(spark, sf_dir).select("rcp_no", "period")
+def _with_text(spark, sf_dir, placebo: bool):
+    data, numbers, text = _experiment(spark, sf_dir, placebo)
+    return NB.repeated_nb_cv(numbers(["qty", "revenue"]).unionByName(text), data.select("id", "label"))
+
+
+@register("nb_with_text")
+def q_nb_with_text(spark, sf_dir):
+    """TF-IDF vectors beside panel features (E8, J1): complement NB, 5 folds x 30 seeds."""
+    return _with_text(spark, sf_dir, False)
+
+
+@register("placebo_experiment")
+def q_placebo_experiment(spark, sf_dir):
+    """The same with another corpus' vectors attached by position."""
+    return _with_text(spark, sf_dir, True)
 
 
 @register("write_vectors", with_views(["ml_frame"], """
