@@ -1,5 +1,5 @@
 """Text column functions (I1-I9, I12, I13).  Built-in regex and array
-higher-order functions only, so everything stays inside whole-stage codegen.
+higher-order functions only, so no row leaves the JVM.
 """
 
 from __future__ import annotations
@@ -73,8 +73,8 @@ def tag_of(token: Column) -> Column:
 
 def filter_tags(tokens, tags: Iterable[str] = KEPT_TAGS) -> Column:
     """I4: keep 'surface/TAG' tokens whose tag is in ``tags``."""
-    allowed = F.array(*[F.lit(t.rstrip(";")) for t in tags])
-    return F.filter(_c(tokens), lambda t: F.array_contains(allowed, tag_of(t)))
+    allowed = [t.rstrip(";") for t in tags]
+    return F.filter(_c(tokens), lambda t: tag_of(t).isin(*allowed))
 
 
 def noun_filter(tokens) -> Column:
@@ -107,8 +107,8 @@ def strip_markup(col) -> Column:
 
 def remove_stopwords(tokens, stopwords: Iterable[str]) -> Column:
     """I8: drop whole tokens found in the stop list (order and repeats kept)."""
-    stop = F.array(*[F.lit(s) for s in stopwords])
-    return F.filter(_c(tokens), lambda t: ~F.array_contains(stop, t))
+    stop = list(stopwords)
+    return F.filter(_c(tokens), lambda t: ~t.isin(*stop))
 
 
 def ngrams(tokens, n: int = 2) -> Column:

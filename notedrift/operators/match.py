@@ -28,9 +28,10 @@ def left_join_suffix(a: DataFrame, b: DataFrame, on: Sequence[str], suffixes: tu
 
 
 def match_filings_to_panel(filings: DataFrame, panel: DataFrame, on: Sequence[str] = ("symbol", "period"),
-                           require_unique: bool = False) -> DataFrame:
+                           require_unique: bool = True) -> DataFrame:
     """Each filing gets the panel row of the same company and quarter;
-    unmatched filings are kept with nulls and ``is_matched = false``."""
+    unmatched filings are kept with nulls and ``is_matched = false``.  A key that
+    the panel holds twice would repeat filings and is an error (``require_unique``)."""
     if require_unique:
         assert_unique(panel, on)
     p = panel.withColumn("_m", F.lit(True))
@@ -41,9 +42,12 @@ def match_filings_to_panel(filings: DataFrame, panel: DataFrame, on: Sequence[st
 def attach_next_period_target(panel: DataFrame, targets: Sequence[str], entity: str = "symbol",
                               period: str = "period", features: Sequence[str] = (),
                               zero_is_missing: bool = True, shift: int = 1, cast: str | None = None,
-                              complete: bool = True, suffix: str = "_next") -> DataFrame:
+                              complete: bool = True, suffix: str = "_next",
+                              target_frame: DataFrame | None = None, require_unique: bool = True) -> DataFrame:
     """The row at t gets the targets of t+shift (calendar quarter).
 
+    The targets come from ``target_frame``, by default from ``panel`` itself; a
+    key that a separate frame holds twice is an error (``require_unique``).
     Pre-filter as the reference: features with 0 -> null, rows with a missing
     feature dropped; target rows must have all targets; at the end only
     complete rows are kept (``complete``).
@@ -54,24 +58,38 @@ def attach_next_period_target(panel: DataFrame, targets: Sequence[str], entity:
             cur = cur.select(*[F.nullif(F.col(c), F.lit(0)).alias(c) if c in features else F.col(c)
                                for c in cur.columns])
         cur = cur.na.drop(how="any", subset=list(features))
-    nxt = panel.select(F.col(entity), (F.col(period) - shift).alias(period),
-                       *[(F.col(t).cast(cast) if cast else F.col(t)).alias(t + suffix) for t in targets])
+    source = _targets(panel, target_frame, (entity, period), require_unique)
+    nxt = source.select(F.col(entity), (F.col(period) - shift).alias(period),
+                        *[(F.col(t).cast(cast) if cast else F.col(t)).alias(t + suffix) for t in targets])
     nxt = nxt.na.drop(how="any", subset=[t + suffix for t in targets])
-    out = cur.join(nxt, [entity, period], "inner" if complete else "left")
-    return out
+    return cur.join(nxt, [entity, period], "inner" if complete else "left")
+
+
+def _targets(panel: DataFrame, target_frame: DataFrame | None, key: Sequence[str], require_unique: bool) -> DataFrame:
+    if target_frame is not None and require_unique:
+        assert_unique(target_frame, key)
+    return panel if target_frame is None else target_frame
 
 
 def attach_current_target(panel: DataFrame, target: str, new_name: str, entity: str = "symbol",
-                          period: str = "period") -> DataFrame:
-    """The current-quarter target under a new name (keyed, so rows may be reordered freely)."""
-    return panel.withColumn(new_name, F.col(target))
+                          period: str = "period", target_frame: DataFrame | None = None,
+                          require_unique: bool = True) -> DataFrame:
+    """The current-quarter target under a new name: a left join with
+    ``target_frame`` on the key, null when absent; without one, a column of ``panel``."""
+    if target_frame is None:
+        return panel.withColumn(new_name, F.col(target))
+    source = _targets(panel, target_frame, (entity, period), require_unique)
+    return panel.join(source.select(entity, period, F.col(target).alias(new_name)), [entity, period], "left")
 
 
 def attach_previous_target(panel: DataFrame, target: str, entity: str = "symbol", period: str = "period",
-                           new_name: str | None = None, lag: int = 1) -> DataFrame:
-    """Target of the previous calendar quarter (t-1), null when absent."""
+                           new_name: str | None = None, lag: int = 1, target_frame: DataFrame | None = None,
+                           require_unique: bool = True) -> DataFrame:
+    """Target of the previous calendar quarter (t-1), null when absent;
+    from ``target_frame``, by default from ``panel`` itself."""
     new_name = new_name or f"{target}_prev"
-    prev = panel.select(F.col(entity), (F.col(period) + lag).alias(period), F.col(target).alias(new_name))
+    source = _targets(panel, target_frame, (entity, period), require_unique)
+    prev = source.select(F.col(entity), (F.col(period) + lag).alias(period), F.col(target).alias(new_name))
     return panel.join(prev, [entity, period], "left")
 
 

@@ -20,34 +20,16 @@ from pyspark.sql import types as T
 
 
 # ------------------------------------------------------------------ p-values
-def _betacf(a: float, b: float, x: float, iters: int = 300, eps: float = 3e-16) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction 1 / (1 + d1 / (1 + d2 / (1 + ...))) of the incomplete beta function,
+    d(2m) = m (b - m) x / ((a + 2m - 1)(a + 2m)) and d(2m+1) = -(a + m)(a + b + m) x / ((a + 2m)(a + 2m + 1)),
+    evaluated from its innermost term; it converges in some sqrt(max(a, b)) terms."""
+    value = 1.0
+    for j in range(100 + 10 * math.isqrt(int(max(a, b)) + 1), 0, -1):
+        m, odd = divmod(j, 2)
+        top = -(a + m) * (a + b + m) if odd else m * (b - m)
+        value = 1.0 + top * x / ((a + j - 1) * (a + j)) / value
+    return 1.0 / value
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:
@@ -61,8 +43,8 @@ def betainc_reg(a: float, b: float, x: float) -> float:
     lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
     front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1) / (a + b + 2):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+        return front * _beta_fraction(a, b, x) / a
+    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def t_two_sided_p(t: float, dof: float) -> float:

@@ -135,7 +135,7 @@ FROM valid_notes v LEFT JOIN panel p ON p.symbol = 'A' || v.crp_cd AND p.period
 def q_match_filings_to_panel(spark, sf_dir):
     v = valid_notes(spark, sf_dir).select("rcp_no", P.symbol_key("crp_cd").alias("symbol"), "period")
     p = A.panel(spark, sf_dir).select("symbol", "period", "revenue")
-    return match.match_filings_to_panel(v, p, require_unique=False)
+    return match.match_filings_to_panel(v, p)
 
 
 @register("attach_next_period_target", with_views(["panel"], """
@@ -170,23 +170,41 @@ def q_attach_next_period_targets(spark, sf_dir):
     return out.select("symbol", "period", "qty", "label_entity_next", "label_cross_next")
 
 
+def _panel_and_targets(spark, sf_dir):
+    """Two tables: the features of the panel, and prices of the quarters with more than one line."""
+    p = A.panel(spark, sf_dir)
+    return p.select("symbol", "period", "qty"), p.filter("n_lines > 1").select("symbol", "period", "avg_price")
+
+
 @register("attach_current_target", with_views(["panel"], """
-SELECT symbol, period, round(avg_price, 6) AS avg_price, round(avg_price, 6) AS target_t FROM panel"""))
+SELECT p.symbol, p.period, p.qty, round(t.avg_price, 6) AS target_t
+FROM panel p LEFT JOIN (SELECT * FROM panel WHERE n_lines > 1) t ON t.symbol = p.symbol AND t.period = p.period"""))
 def q_attach_current_target(spark, sf_dir):
-    p = A.panel(spark, sf_dir).select("symbol", "period", "avg_price")
-    out = match.attach_current_target(p, "avg_price", "target_t")
-    return out.select("symbol", "period", r6("avg_price").alias("avg_price"), r6("target_t").alias("target_t"))
+    p, t = _panel_and_targets(spark, sf_dir)
+    out = match.attach_current_target(p, "avg_price", "target_t", target_frame=t)
+    return out.select("symbol", "period", "qty", r6("target_t").alias("target_t"))
 
 
 @register("attach_previous_target", with_views(["panel"], """
 SELECT a.symbol, a.period, round(b.avg_price, 6) AS avg_price_prev
-FROM panel a LEFT JOIN panel b ON b.symbol = a.symbol AND b.period = a.period - 1"""))
+FROM panel a LEFT JOIN (SELECT * FROM panel WHERE n_lines > 1) b ON b.symbol = a.symbol AND b.period = a.period - 1"""))
 def q_attach_previous_target(spark, sf_dir):
-    p = A.panel(spark, sf_dir).select("symbol", "period", "avg_price")
-    out = match.attach_previous_target(p, "avg_price")
+    p, t = _panel_and_targets(spark, sf_dir)
+    out = match.attach_previous_target(p, "avg_price", target_frame=t)
     return out.select("symbol", "period", r6("avg_price_prev").alias("avg_price_prev"))
 
 
+@register("attach_next_target_of_table", with_views(["panel"], """
+SELECT c.symbol, c.period, c.qty, round(n.avg_price, 6) AS avg_price_next
+FROM panel c JOIN panel n ON n.symbol = c.symbol AND n.period = c.period + 1
+WHERE c.qty <> 0 AND n.n_lines > 1 AND n.avg_price IS NOT NULL"""))
+def q_attach_next_target_of_table(spark, sf_dir):
+    """E4 with features and targets in two tables."""
+    p, t = _panel_and_targets(spark, sf_dir)
+    out = match.attach_next_period_target(p, ["avg_price"], features=["qty"], target_frame=t)
+    return out.select("symbol", "period", "qty", r6("avg_price_next").alias("avg_price_next"))
+
+
 # ---------------------------------------------------------------- buckets and windows (G)
 @register("bucket_by_entity", with_views(["panel"], _bucket_sql(
     "panel", "revenue", "[0.0, 0.25, 0.75, 1.0]", "PARTITION BY symbol", "symbol, period")))

@@ -128,3 +128,37 @@ def q_one_sided_decision(spark, sf_dir):
 def q_normality_report(spark, sf_dir):
     """K4 (rows-only): Shapiro-Wilk per sample after null/zero/IQR filtering."""
     return S.normality_report(A.scores(spark, sf_dir), "value", "sample")
+
+
+# Normal quantiles at 0.975 and 0.95.  The t quantile is expanded around them in 1 / dof.
+def _t_quantile(z: str, dof: str) -> str:
+    return (f"({z} + ({z}^3 + {z}) / (4 * {dof}) + (5 * {z}^5 + 16 * {z}^3 + 3 * {z}) / (96 * {dof}^2)"
+            f" + (3 * {z}^7 + 19 * {z}^5 + 17 * {z}^3 - 15 * {z}) / (384 * {dof}^3))")
+
+
+@register("decision_statistics", with_views(["scores"], _LEVENE_SQL.replace(
+    "\nSELECT p.pair_id", ",\n" + _MOM + ",\nlv AS (SELECT p.pair_id", 1) + f"""),
+st AS (
+  SELECT lv.*, sqrt(lv.w) > {_t_quantile("1.959963984540054", "lv.df2")} AS equal_var,
+         (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS tp, CAST(a.n + b.n - 2 AS DOUBLE) AS dp,
+         (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS tw,
+         (a.v / a.n + b.v / b.n) ^ 2 / ((a.v / a.n) ^ 2 / (a.n - 1) + (b.v / b.n) ^ 2 / (b.n - 1)) AS dw
+  FROM lv JOIN mom a ON a.sample = lv.sample_a JOIN mom b ON b.sample = lv.sample_b),
+d AS (SELECT *, CASE WHEN equal_var THEN tp ELSE tw END AS t, CASE WHEN equal_var THEN dp ELSE dw END AS dof FROM st)
+SELECT pair_id, sample_a, sample_b, w, equal_var, round(t, 6) AS t, round(dof, 6) AS dof,
+       t < -{_t_quantile("1.6448536269514722", "dof")} AS reject FROM d"""))
+def q_decision_statistics(spark, sf_dir):
+    """K8: statistics and decision; the twin compares with critical values instead of p-values."""
+    d = S.compare_samples(A.scores(spark, sf_dir), "value", "sample", PAIRS)
+    return d.select(F.col("pair_id").cast("int"), "sample_a", "sample_b", r6("w").alias("w"), "equal_var",
+                    r6("t").alias("t"), r6("dof").alias("dof"), "reject")
+
+
+@register("normality_counts", with_views(["scores"], """
+SELECT s.sample, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT * FROM scores WHERE value <> 0) s
+JOIN (SELECT sample, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM scores WHERE value <> 0 GROUP BY sample) g ON g.sample = s.sample
+WHERE s.value >= g.q1 - 1.5 * (g.q3 - g.q1) AND s.value <= g.q3 + 1.5 * (g.q3 - g.q1) GROUP BY s.sample"""))
+def q_normality_counts(spark, sf_dir):
+    """K4: rows of each sample that enter the normality test."""
+    return S.normality_report(A.scores(spark, sf_dir), "value", "sample").select("sample", "n")

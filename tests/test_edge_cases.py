@@ -54,3 +54,25 @@ def test_prior_filings_by_all_lags(spark):
                                  "crp_cd string, period int, rcp_no int, rcp_dt int")
     got = {r.rcp_no: (r.prior_q, r.prior_y) for r in match_prior_filings(rows).collect()}
     assert got == {10: (None, None), 11: (10, None), 12: (10, None), 13: (None, 10), 14: (13, 11), 15: (None, None), 16: (None, None)}
+
+
+def test_targets_of_another_table(spark):
+    """Targets by key from a second table; a repeated target key is an error, not more rows."""
+    import pytest
+
+    from notedrift.operators import match
+    p = spark.createDataFrame([("A", 1, 2.0), ("A", 2, 0.0), ("B", 1, 4.0)], "symbol STRING, period INT, qty DOUBLE")
+    t = spark.createDataFrame([("A", 1, 7.0), ("A", 2, 8.0)], "symbol STRING, period INT, y DOUBLE")
+    now = {(r.symbol, r.period): r.y_t for r in match.attach_current_target(p, "y", "y_t", target_frame=t).collect()}
+    assert now == {("A", 1): 7.0, ("A", 2): 8.0, ("B", 1): None}
+    before = {(r.symbol, r.period): r.y_prev for r in match.attach_previous_target(p, "y", target_frame=t).collect()}
+    assert before == {("A", 1): None, ("A", 2): 7.0, ("B", 1): None}
+    after = match.attach_next_period_target(p, ["y"], features=["qty"], target_frame=t).collect()
+    assert [(r.symbol, r.period, r.y_next) for r in after] == [("A", 1, 8.0)]
+    twice = t.unionByName(t)
+    for join in (lambda: match.attach_current_target(p, "y", "y_t", target_frame=twice),
+                 lambda: match.attach_previous_target(p, "y", target_frame=twice),
+                 lambda: match.attach_next_period_target(p, ["y"], target_frame=twice),
+                 lambda: match.match_filings_to_panel(p.select("symbol", "period"), twice)):
+        with pytest.raises(ValueError):
+            join().collect()
