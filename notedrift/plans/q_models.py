@@ -299,9 +299,9 @@ def q_ml_stages(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- end-to-end experiment
-def _experiment(spark, sf_dir, placebo: bool = False):
-    """Every resolved filing with its panel features (A: qty, revenue), note distance, TF-IDF
-    weights and next-quarter class, as (data, points of the numbers, points of the text).
+def _experiment(spark, sf_dir, placebo: bool = False, distance: bool = False):
+    """Every resolved filing with its panel features (qty, revenue), TF-IDF weights, next-quarter
+    class and, with ``distance``, its note distance, as (data, points of the numbers, points of the text).
 
     ``placebo``: a filing carries the weights of the conversation turn at its position
     instead of its own note's (J22)."""
@@ -318,9 +318,11 @@ def _experiment(spark, sf_dir, placebo: bool = False):
                                              features=["qty", "revenue"], cast="long")
     notes = valid_notes(spark, sf_dir).select("rcp_no", "period", P.symbol_key("crp_cd").alias("symbol"),
                                               X.normalize_note("foot_note").alias("text"))
-    data = notes.join(target, ["symbol", "period"]).join(note_change(spark, sf_dir).select("rcp_no", "dist_q"), "rcp_no")
-    data = data.na.drop(subset=["dist_q"]).select(F.col("rcp_no").alias("id"), F.col("label_next").alias("label"),
-                                                  "qty", "revenue", "dist_q", "text")
+    data = notes.join(target, ["symbol", "period"])
+    if distance:  # filings without a prior one have no distance and are left out
+        data = data.join(note_change(spark, sf_dir).select("rcp_no", "dist_q").na.drop(), "rcp_no")
+    data = data.select(F.col("rcp_no").alias("id"), F.col("label_next").alias("label"), "qty", "revenue", "text",
+                       *(["dist_q"] if distance else []))
     data = materialize(data, "experiment_input")  # read by the weights, the folds and the points
     source = data.select("id", "text")
     if placebo:
@@ -339,12 +341,12 @@ def _experiment(spark, sf_dir, placebo: bool = False):
 
 @register("text_signal_experiment")
 def q_text_signal_experiment(spark, sf_dir):
-    """Does the note change help to predict next quarter's company bucket?  Every filing with panel
-    features and its note distance, target the bucket (G1) of the next calendar quarter (E4), scaling
+    """Does the note change help to predict next quarter's company bucket?  Every filing with a prior one, with
+    panel features and its note distance, target the bucket (G1) of the next calendar quarter (E4), scaling
     inside the fold, complement NB, 5 folds x 30 seeds (J18), then the one-sided test of the
     accuracies per seed (K8)."""
     from ..operators import stats as S
-    data, numbers, _ = _experiment(spark, sf_dir)
+    data, numbers, _ = _experiment(spark, sf_dir, distance=True)
     rows = None
     for variant, cols in (("numeric", ["qty", "revenue"]), ("text", ["qty", "revenue", "dist_q"])):
         res = NB.repeated_nb_cv(numbers(cols), data.select("id", "label")).withColumn("variant", F.lit(variant))
