@@ -2,19 +2,24 @@
 
 Equal vectors are collapsed first.  Every distinct unit vector is turned by a
 fixed random rotation and stored as its signs, with a correction factor: the
-inner product of the rotated vector and its sign code.  For a pair the inner
-product of one vector's code with the other's rotated vector, divided by the
-factor, is an unbiased estimate of the cosine, and its error is bounded with
-high confidence by ``BOUND`` standard deviations.  A pair whose upper bound is
-under the threshold is discarded; all others are computed again exactly in
-double precision, so no pair below the threshold links.
-
-Pairs are compared inside cells: each vector stands in the cells of its
-``PROBES`` nearest centres (a bounded sample of the vectors; every vector is
-indexed), and a pair is counted in the first cell they share.  A cell of more than ``BLOCK``
-vectors is dealt in blocks, and each pair of blocks is a task of its own, so no
-group grows with the data.  A task returns link counts and a spanning forest,
-never all its pairs.
+cosine of the rotated vector and its sign code.  Angles add up at most, so the
+angle of one vector's code and a partner is no more than the code's own angle plus
+the link angle.  A pair beyond that is discarded; all others are computed again
+exactly in double precision, so no pair below the threshold links and none at or
+above it is lost.
+
+Every vector has one home: the cell of its nearest centre (a bounded sample of the
+vectors; every vector is indexed).  Cells whose centres are close are packed into
+units of at most ``UNIT`` vectors, and a larger cell is dealt into several units.
+A pair is compared in the lower unit of its two homes: a vector visits every lower
+unit that may hold a partner.  That is a proven bound, not a number of probes: a
+partner x at home with centre c has x.c >= x.c' for every other centre c', so a
+vector y within the link angle of x has y.c >= y.c' - sqrt(1 - threshold^2) |c - c'|,
+and y is no farther from c than the cell's own radius plus the link angle.  Where
+the bounds exclude little (vectors without groups, or one dense group) the work is
+that of all pairs.  Visitors of ``VISITS`` units meet a unit in one task, so no task
+grows with the data.  A task returns link counts and a spanning forest, never all
+its pairs.
 
 Defined results: null or zero vectors and vectors with null or non-finite
 components link with nothing; vectors of different lengths do not link; equal
@@ -34,9 +39,11 @@ from ..session import materialize
 from .components import components
 from .skew import join_even
 
-PER_CELL, MOST_CENTRES, PROBES, BLOCK = 1_000, 4_096, 4, 2_048
-#: Standard deviations of the estimate within which it is trusted.
-BOUND = 4.5
+PER_CELL, MOST_CENTRES, UNIT, VISITS = 1_000, 4_096, 2_048, 4
+#: Centres of a vector, nearest first, against which the other cells are bounded: each is a proven bound of its own.
+WITNESSES = 4
+#: Slack of the bounds for rounding.
+SLACK = 1e-6
 
 
 @lru_cache(8)
@@ -54,31 +61,109 @@ def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def undecided(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs (code row, vector row) whose cosine may reach the threshold by the confidence bound."""
-    d = signs.shape[1]
-    estimate = (signs.astype(np.float32) @ turned.T.astype(np.float32)) / np.float32(np.sqrt(d)) / factor[:, None].astype(np.float32)
-    # the error lies in the part of the vector across the code's own: at most sqrt(1 - threshold^2) for a pair at the threshold
-    spread = np.sqrt(np.maximum(1 / np.square(factor) - 1, 0) / max(d - 1, 1)) * np.sqrt(1 - threshold * threshold)
-    return np.argwhere(estimate + (BOUND * spread[:, None]).astype(np.float32) + np.float32(1e-5) >= threshold)
+    """Pairs (code row, vector row) whose cosine may reach the threshold: all but those a proven bound excludes."""
+    seen = (signs.astype(np.float32) @ turned.T.astype(np.float32)) / np.float32(np.sqrt(signs.shape[1]))
+    angle = np.arccos(np.clip(factor, -1, 1)) + np.arccos(np.clip(threshold, -1, 1))
+    least = np.cos(np.minimum(angle, np.pi)) - 1e-5
+    return np.argwhere(seen >= least[:, None].astype(np.float32))
+
+
+def _units(frame: pd.DataFrame) -> np.ndarray:
+    unit = np.stack(frame["embedding"].to_numpy()).astype(float)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
 
-def _assign(centres: dict[int, tuple[np.ndarray, np.ndarray]], probes: int):
+def _homes(centres: dict[int, np.ndarray], first: dict[int, int]):
+    """Each vector's cell and the cosine to its centre; vectors of a length without centres share the cell ``-length``."""
     def run(frames):
         for frame in frames:
             for d, own in frame.groupby(frame["embedding"].map(len)):
-                unit = np.stack(own["embedding"].to_numpy()).astype(float)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                if d not in centres:
-                    cells = np.full((len(own), 1), -int(d))
-                else:
-                    names, vectors = centres[d]
-                    near = min(probes, len(names))
-                    cells = np.empty((len(own), near), np.int64)
+                out = own[["node", "m", "embedding"]].copy()
+                out["cell"], out["near"] = -int(d), -1.0
+                if d in centres:
+                    unit = _units(own)
+                    cell, near = np.empty(len(own), np.int64), np.empty(len(own))
                     for lo in range(0, len(own), 4_096):
-                        dots = unit[lo:lo + 4_096] @ vectors.T
-                        cells[lo:lo + 4_096] = names[np.argpartition(-dots, near - 1, axis=1)[:, :near]]
+                        dots = unit[lo:lo + 4_096] @ centres[d].T
+                        cell[lo:lo + 4_096] = dots.argmax(axis=1)
+                        near[lo:lo + 4_096] = dots.max(axis=1)
+                    out["cell"], out["near"] = cell + first[d], near
+                yield out
+    return run
+
+
+def pack_cells(counts: dict[int, int], centres: dict[int, np.ndarray], first: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """(first unit, units) of each cell: close cells share a unit of at most ``most`` vectors, larger cells have several units."""
+    place, at = {}, 0
+    for cell, n in sorted(counts.items()):
+        if cell < 0 or n > most:
+            place[cell] = (at, -(-n // most))
+            at += place[cell][1]
+    for d, vectors in centres.items():
+        small = np.array([first[d] + i in counts and first[d] + i not in place for i in range(len(vectors))])
+        while small.any():
+            seed = int(np.argmax(small))
+            held = 0
+            for i in np.argsort(-(vectors @ vectors[seed]), kind="stable").tolist():
+                if small[i]:
+                    if held and held + counts[first[d] + i] > most:
+                        break
+                    held += counts[first[d] + i]
+                    small[i] = False
+                    place[first[d] + i] = (at, 1)
+            at += 1
+    return place
+
+
+def _gaps(vectors: np.ndarray, used: np.ndarray, sine: float) -> np.ndarray:
+    """Sine times the distance of every centre (row) to the used ones, in single precision and no smaller than it is."""
+    out = np.empty((len(vectors), len(used)), np.float32)
+    for lo in range(0, len(vectors), 512):
+        dots = np.clip(vectors[lo:lo + 512] @ vectors[used].T, -1, 1)
+        out[lo:lo + 512] = sine * np.sqrt(2 - 2 * dots + 1e-14) + 1e-6
+    return out
+
+
+def _visits(centres: dict[int, np.ndarray], first: dict[int, int], place: dict[int, tuple[int, int]], radius: dict[int, float], threshold: float):
+    """Each vector's own unit and all lower units that may hold a partner of it."""
+    # sine of the link angle; at a threshold of 0 or less nothing is excluded
+    sine = np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else 1.0
+    angle = np.arccos(np.clip(threshold, -1, 1))
+
+    def run(frames):
+        gaps: dict[int, np.ndarray] = {}  # once a task
+        for frame in frames:
+            for (d, _), own in frame.groupby([frame["embedding"].map(len), frame["cell"] < 0]):
+                cells = own["cell"].to_numpy()
+                node = own["node"].to_numpy()
+                start, parts = (np.array([place[c][k] for c in cells.tolist()], np.int64) for k in (0, 1))
+                # a hash of the node deals a cell's vectors to its units
+                unit_of = start + ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+                visits = [np.arange(s, u) for s, u in zip(start.tolist(), unit_of.tolist())]
+                if d in centres:
+                    vectors = centres[d]
+                    used = np.array([i for i in range(len(vectors)) if first[d] + i in place], np.int64)
+                    begin, size = (np.array([place[first[d] + i][k] for i in used.tolist()], np.int64) for k in (0, 1))
+                    reach = np.cos(np.minimum(np.pi, np.arccos(np.clip([radius[first[d] + i] for i in used.tolist()], -1, 1)) + angle))
+                    if d not in gaps:
+                        gaps[d] = _gaps(vectors, used, sine)
+                    unit = _units(own)
+                    witnesses = min(WITNESSES, len(vectors))
+                    for lo in range(0, len(own), 1_024):
+                        dots = unit[lo:lo + 1_024] @ vectors.T
+                        inside = dots[:, used]
+                        open_ = inside >= reach - SLACK
+                        near = np.argpartition(-dots, witnesses - 1, axis=1)[:, :witnesses]
+                        for w in near.T:
+                            open_ &= inside >= dots[np.arange(len(dots)), w][:, None] - gaps[d][w] - SLACK
+                        for i, row in enumerate(open_, lo):
+                            lower = np.flatnonzero(row & (begin < unit_of[i]))
+                            many = lower[size[lower] > 1]
+                            several = [np.arange(begin[j], min(begin[j] + size[j], unit_of[i])) for j in many.tolist()]
+                            visits[i] = np.unique(np.concatenate([visits[i], begin[lower], *several]))
                 out = own[["node", "m", "embedding"]].copy()
-                out["cells"] = list(np.sort(cells, axis=1))
+                out["unit"] = unit_of
+                out["visits"] = visits
                 yield out
     return run
 
@@ -97,31 +182,43 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, step: int = 2_048):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        cell, first, second, _ = key
+        unit_no, chunk = key
         frame = frame.sort_values("node", kind="stable")
-        unit = np.stack(frame["embedding"].to_numpy()).astype(float)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = _units(frame)
         turned, signs, factor = codes(unit)
-        block = frame["block"].to_numpy()
-        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        got = undecided(signs[left], factor[left], turned[right], threshold)
-        a, b = left[got[:, 0]], right[got[:, 1]]
-        if first == second:
-            a, b = a[a < b], b[a < b]
-        cells = np.stack(frame["cells"].to_numpy())
-        keep = []
-        for lo in range(0, len(a), 100_000):  # exact recomputation of the undecided pairs
-            x, y = a[lo:lo + 100_000], b[lo:lo + 100_000]
-            near = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
-            x, y = x[near], y[near]
-            shared = np.where((cells[x][:, :, None] == cells[y][:, None, :]).any(axis=2), cells[x], np.iinfo(np.int64).max).min(axis=1)
-            keep.append(np.stack([x[shared == cell], y[shared == cell]]))
-        a, b = np.concatenate(keep, axis=1) if keep else (np.empty(0, np.int64),) * 2
+        home = frame["home"].to_numpy()
         m = frame["m"].to_numpy().astype(float)
-        links = np.bincount(a, m[b], len(frame)) + np.bincount(b, m[a], len(frame))
-        root = _roots(len(frame), a, b)
+        left, right = np.flatnonzero(home), np.flatnonzero(~home)
+        links, root = np.zeros(len(frame)), np.arange(len(frame))
+
+        def compare(x: np.ndarray, y: np.ndarray, same: bool) -> None:
+            nonlocal root
+            got = undecided(signs[x], factor[x], turned[y], threshold)
+            a, b = x[got[:, 0]], y[got[:, 1]]
+            if same:
+                a, b = a[a < b], b[a < b]
+            for lo in range(0, len(a), 100_000):  # exact recomputation of the undecided pairs
+                p, q = a[lo:lo + 100_000], b[lo:lo + 100_000]
+                near = np.einsum("ij,ij->i", unit[p], unit[q]) >= threshold
+                p, q = p[near], q[near]
+                if len(p):
+                    links[:] += np.bincount(p, m[q], len(frame)) + np.bincount(q, m[p], len(frame))
+                    # only links between different trees change the forest
+                    new = root[p] != root[q]
+                    if new.any():
+                        every = np.arange(len(frame))
+                        root = _roots(len(frame), np.concatenate([every, p[new]]), np.concatenate([root, q[new]]))
+
+        pieces = lambda x: [x[lo:lo + step] for lo in range(0, len(x), step)]
+        if chunk == unit_no // VISITS:  # pairs inside the unit, once
+            for i, x in enumerate(pieces(left)):
+                for j, y in enumerate(pieces(left)[i:]):
+                    compare(x, y, j == 0)
+        for x in pieces(left):
+            for y in pieces(right):
+                compare(x, y, False)
         on = np.flatnonzero(links > 0)
         node = frame["node"].to_numpy()
         return pd.DataFrame({"node": node[on], "links": links[on].astype(np.int64), "root": node[root[on]]})
@@ -139,25 +236,29 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "op6-distinct")
     n = distinct.count()
     size = int(min(MOST_CENTRES, max(1, n // PER_CELL)))
-    sample = distinct.orderBy(F.xxhash64("embedding")).select("node", "embedding").limit(size).collect()  # at most MOST_CENTRES
+    sample = distinct.orderBy(F.xxhash64("embedding")).select("embedding").limit(size).collect()  # at most MOST_CENTRES
     by_length: dict[int, list] = {}
     for r in sample:
-        by_length.setdefault(len(r["embedding"]), []).append((r["node"], r["embedding"]))
-    centres = {}
+        by_length.setdefault(len(r["embedding"]), []).append(r["embedding"])
+    centres, first, at = {}, {}, 0
     for d, found in by_length.items():
-        vectors = np.array([v for _, v in found], float)
-        centres[d] = (np.array([k for k, _ in found], np.int64), vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+        vectors = np.array(found, float)
+        centres[d], first[d] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True), at
+        at += len(found)
 
-    shape = f"node long, m long, embedding {kind['embedding']}, cells array<long>"
-    placed = materialize(distinct.select("node", "m", "embedding").mapInPandas(_assign(centres, PROBES), shape), "op6-cells")
-    one = placed.withColumn("cell", F.explode("cells"))
-    blocks = one.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    shape = f"node long, m long, embedding {kind['embedding']}"
+    homes = materialize(distinct.select("node", "m", "embedding").mapInPandas(_homes(centres, first), f"{shape}, cell long, near double"), "op6-homes")
     # one row a cell: at most MOST_CENTRES and one for each vector length
-    dealt = one.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
-    found = (dealt.select("cell", "first", "second", F.size("embedding").alias("d"), "node", "m", "embedding", "cells", "block")
-             .groupBy("cell", "first", "second", "d").applyInPandas(_compare(threshold), "node long, links long, root long"))
+    cells = homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("radius")).collect()
+    place = pack_cells({r["cell"]: r["n"] for r in cells}, centres, first, UNIT)
+    visits = _visits(centres, first, place, {r["cell"]: r["radius"] for r in cells}, threshold)
+    placed = materialize(homes.mapInPandas(visits, f"{shape}, unit long, visits array<long>"), "op6-units")
+    chunk = F.floor(F.col("unit") / VISITS).alias("chunk")
+    guests = placed.select(F.explode("visits").alias("at"), chunk, "node", "m", "embedding", F.lit(False).alias("home"))
+    met = guests.select("at", "chunk").distinct()
+    inside = placed.select(F.col("unit").alias("at"), chunk).distinct()
+    hosts = placed.select(F.col("unit").alias("at"), "node", "m", "embedding", F.lit(True).alias("home")).join(met.union(inside).distinct(), "at")
+    found = guests.unionByName(hosts).groupBy("at", "chunk").applyInPandas(_compare(threshold), "node long, links long, root long")
     found = materialize(found, "op6-links")
 
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -146,6 +146,30 @@ def test_embeddings_links(spark):
         assert got[i].component_id == min(reach) and got[i].kept == (i == min(reach))
 
 
+@pytest.mark.parametrize("unit", [64, 400])
+def test_embeddings_links_across_many_centres(spark, monkeypatch, unit):
+    """A dense jittered group, small groups and lone vectors under far more centres than a vector has near ones: every pair is found."""
+    monkeypatch.setattr(embeddings, "PER_CELL", 20)
+    monkeypatch.setattr(embeddings, "UNIT", unit, raising=False)
+    rng = np.random.default_rng(8)
+    dense = rng.standard_normal(16) + rng.standard_normal((1500, 16)) * .3
+    small = np.repeat(rng.standard_normal((100, 16)), 4, axis=0) + rng.standard_normal((400, 16)) * .2
+    vectors = np.concatenate([dense, small, rng.standard_normal((300, 16))])
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = units @ units.T >= .9
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(5000 + i, [1.0, float(i)]) for i in range(300)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    assert [got[i].n_links for i in range(len(vectors))] == (linked.sum(axis=1) - 1).tolist()
+    label = np.arange(len(vectors))
+    while (new := np.where(linked, label, len(label)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    assert [got[i].component_id for i in range(len(vectors))] == label.tolist()
+    flat = np.array([v for _, v in rows[len(vectors):]])
+    flat /= np.linalg.norm(flat, axis=1, keepdims=True)
+    assert [got[5000 + i].n_links for i in range(300)] == ((flat @ flat.T >= .9).sum(axis=1) - 1).tolist()
+
+
 @pytest.mark.parametrize("shard", [4, 4096])
 def test_search_equals_brute_force(spark, monkeypatch, shard):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120)
