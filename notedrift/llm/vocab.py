@@ -5,6 +5,8 @@ rank a line) and JSON (vocabulary and merges).  Pre-tokens are found with array
 operations over code-point classes and are equal to the matches of
 ``public_tokenizers.PATTERN``; each distinct pre-token of a slice is merged once
 by the tiktoken core and its ids are then copied to every place it stands.
+Texts are first parted at the added tokens of a JSON vocabulary, whose ids stand
+between those of the parts.
 """
 
 from __future__ import annotations
@@ -76,13 +78,19 @@ def pretoken_starts(cps: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Ranks of a byte-level BPE; ``token_bytes[i]`` are the raw bytes of id i."""
+    """Ranks of a byte-level BPE; ``token_bytes[i]`` are the raw bytes of id i.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    ``added``: ids of strings that are one token wherever they stand in a text;
+    the leftmost counts, of those that start together the longest.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, added: dict[str, int] | None = None):
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        size = max(ranks.values()) + 1
+        self.added = added or {}
+        self.find_added = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+        size = max([*ranks.values(), *self.added.values()]) + 1
         self.token_bytes: list[bytes] = [b""] * size
-        for token, i in ranks.items():
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in self.added.items())]:
             self.token_bytes[i] = token
         self._ids: dict[int, bytes] = {}  # ids of a pre-token as 32-bit integers
 
@@ -96,6 +104,26 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the bounds of each text in them (len + 1)."""
+        if self.find_added is None or not any(map(self.find_added.search, texts)):
+            return self._encode_parts(texts)
+        parts, after, first = [], [], [0]  # parts of the texts, the id after each (-1: none), each text's first part
+        for t in texts:
+            at = 0
+            for m in self.find_added.finditer(t):
+                parts.append(t[at:m.start()])
+                after.append(self.added[m.group()])
+                at = m.end()
+            parts.append(t[at:])
+            after.append(-1)
+            first.append(len(parts))
+        ids, bounds = self._encode_parts(parts)
+        after = np.array(after, np.int32)
+        real = after >= 0
+        ids = np.insert(ids, bounds[1:][real], after[real])
+        return ids, (bounds + np.concatenate(([0], np.cumsum(real))))[first]
+
+    def _encode_parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         starts, sizes, base, arrays = [], [], 0, []
         for t in texts:
             cps = code_points(t)
@@ -155,10 +183,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Ids of the added tokens of a ``.json`` vocabulary; a ``.tiktoken`` file has none.
+
+    Tokens that take white space beside them or stand for whole words only, and
+    those of a normalised text, are not built: ValueError.
+    """
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = spec.get("added_tokens", [])
+    for t in added:
+        if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") and spec.get("normalizer"):
+            raise ValueError(f"{path}: added token {t['content']!r} has a rule that is not supported")
+    return {t["content"]: t["id"] for t in added if t["content"]}
+
+
 @lru_cache(4)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """One vocabulary a worker process."""
-    return Vocabulary(read_ranks(path), pattern)
+    return Vocabulary(read_ranks(path), pattern, read_added(path))
 
 
 @lru_cache(1)

@@ -74,6 +74,22 @@ def test_packing_places_every_piece(spark):
     assert len(where) <= -(-sum(map(len, ids.values())) // 1024) + 2
 
 
+def test_packing_keeps_added_tokens_whole(spark):
+    """Ids as the tokenizers library gives them with add_special_tokens=False and nothing else set."""
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(JSON)
+    end = "<|endoftext|>"
+    texts = ["a<|endoftext|>b", end, end * 3, f"it's {end} 's\n {end}\n\n", "<|endoftext|", f"é中{end}" + "x y " * 900 + end, None, "", "plain"]
+    ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert ids[0] == [64, 50256, 65, 2]
+    covered = collections.Counter()
+    for r in packing.pack(frame(spark, texts, list(range(len(texts)))), JSON, P.PATTERN).collect():
+        own = ids[r.doc_id][r.start:r.start + r.length]
+        assert len(own) == r.length and zlib.crc32(struct.pack(f"<{len(own)}I", *own)) == r.ids_crc32
+        covered[r.doc_id] += r.length
+    assert all(covered[i] == len(x) for i, x in ids.items())
+
+
 def test_configuration_program_is_close_to_the_bound():
     rng = np.random.default_rng(0)
     lengths = np.maximum(1, rng.lognormal(6, 1, 5000)).astype(int) % 1024 + 1
