@@ -8,7 +8,10 @@ weight rises with the share of its pieces that is still uncovered, a knapsack
 dynamic program prices the best configuration, and a step of it is taken that
 never covers more pieces than there are.  The fractional solution is rounded
 down, rounded up again where all pieces of one more sequence are left, and
-best-fit decreasing places the few pieces that remain.
+best-fit decreasing places the rest in runs of equal lengths.  The program runs
+until less than one sequence is uncovered, so its rest comes from rounding alone.
+Its first configurations with best fit for what they leave are plans too; the
+plan of fewest sequences is taken, and the share of each rest is logged.
 
 The corpus itself is never collected: each piece gets its rank among the pieces
 of its length (rank in its task at reading, plus the counts of earlier tasks),
@@ -20,8 +23,10 @@ repeated or null ids are separate documents; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +39,10 @@ from .textops import text_slices
 from .vocab import vocabulary
 
 CAPACITY = 1024
-#: Bound of the number of configurations priced, and so of the driver's work and of the plan.
-ROUNDS = 600
 ETA = 6.0
 
+log = logging.getLogger(__name__)
+
 
 def best_configuration(values: np.ndarray, capacity: int) -> list[int]:
     """Lengths of the multiset of largest value that fits; ``values[l]`` is that of length l (0: not offered)."""
@@ -62,8 +67,14 @@ def best_configuration(values: np.ndarray, capacity: int) -> list[int]:
     return sorted(taken, reverse=True)
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], float]]:
-    """Fractional configuration program by multiplicative weights: (configuration, amount) pairs."""
+def solve(counts: np.ndarray, capacity: int, rounds: int | None = None) -> list[tuple[tuple[int, ...], float]]:
+    """Fractional configuration program by multiplicative weights: (configuration, amount) pairs.
+
+    Without ``rounds`` it runs until less than one sequence is uncovered.  That
+    ends: a round uses up a length or takes a sixtieth of the mass in sequences,
+    each more than half full, so rounds are at most the lengths plus a multiple
+    of the logarithm of the mass.
+    """
     demand = counts.astype(float).copy()
     left = demand.copy()
     sizes = np.arange(capacity + 1) / capacity
@@ -72,7 +83,7 @@ def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple
         amounts[(capacity,)] = float(left[capacity])
         left[capacity] = 0
     total = float((left * sizes).sum())
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         mass = float((left * sizes).sum())
         if mass < 1.0:
             break
@@ -109,18 +120,42 @@ def rounded(solution: list[tuple[tuple[int, ...], float]], counts: np.ndarray, c
         lengths, copies = np.unique(config, return_counts=True)
         if sum(config) == capacity:
             take(config, min(1, int((left[lengths] // copies).min())))
-    rest = np.repeat(np.arange(capacity + 1), left)[::-1]  # fewer than a few for each configuration
-    rooms: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # open sequences by room left
-    for length in rest.tolist():
-        fit = next((r for r in range(length, capacity + 1) if rooms[r]), None)
-        own = rooms[fit].pop() if fit is not None else []
-        own.append(length)
-        rooms[(fit if fit is not None else capacity) - length].append(own)
-    for own in (x for r in rooms for x in r):
-        plan[tuple(sorted(own, reverse=True))] = plan.get(tuple(sorted(own, reverse=True)), 0) + 1
+    pieces, mass = int(counts.sum()), float((counts * np.arange(capacity + 1)).sum())
+    log.info("packing: %d of %d pieces, %.3g of the tokens, are placed by best fit", left.sum(), pieces, (left * np.arange(capacity + 1)).sum() / max(mass, 1))
+    for config, n in best_fit(left, capacity).items():
+        plan[config] = plan.get(config, 0) + n
     return list(plan.items())
 
 
+def packed(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan of fewest sequences among those of the whole program and of its first configurations, best fit placing the rest.
+
+    Taking full sequences first can leave long pieces without partners (lengths with uneven counts), where best fit is better.
+    """
+    solution = solve(counts, capacity)
+    plans = [rounded(solution[:k], counts, capacity) for k in [len(solution), *range(0, len(solution), 50)]]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
+    """Best-fit decreasing in runs of equal lengths: sequences of each configuration, as if placed piece by piece."""
+    rooms: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]  # open sequences by room left
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        k = int(counts[length])
+        while k:
+            fit = next((r for r in range(length, capacity + 1) if rooms[r]), None)
+            own, n = rooms[fit].popitem() if fit is not None else ((), k)
+            room = fit if fit is not None else capacity
+            copies = min(k, room // length)  # a sequence is filled before the next, for its room is then the least
+            used = min(n, k // copies)
+            if own and n > used:
+                rooms[room][own] = n - used
+            filled, left = own + (length,) * copies, room - copies * length
+            rooms[left][filled] = rooms[left].get(filled, 0) + used
+            k -= used * copies
+    return {own: n for r in rooms for own, n in r.items()}
+
+
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length, the runs of ranks: first rank, copies a sequence, first sequence, offset of the first copy."""
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -208,7 +243,7 @@ def pack(docs: DataFrame, vocab_path: str, pattern: str, end_id: int = 2, capaci
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         histogram[r["length"]] = r["n"]
-    table = slots(rounded(solve(histogram, capacity), histogram, capacity))
+    table = slots(packed(histogram, capacity))
     ranked = (pieces.join(counts.select("part", "length", "before"), ["part", "length"])
               .select("key", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank")))
     return ranked.mapInArrow(_placer(table), f"{shape}, sequence_id long, offset long").withColumnRenamed("key", id_col)

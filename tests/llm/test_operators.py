@@ -104,6 +104,41 @@ def test_configuration_program_is_close_to_the_bound():
     assert sum(n for _, n in plan) <= math.ceil(lengths.sum() / 1024) * 1.005 + 1
 
 
+def test_configuration_program_runs_to_its_end():
+    """Many lengths with uneven counts: less than one sequence is uncovered, and best fit gets rounding's rest alone."""
+    rng = np.random.default_rng(6)
+    counts = np.append(0, (rng.lognormal(6, 2, 1024)).astype(int) + 1)
+    sizes = np.arange(1025)
+    solution = packing.solve(counts, 1024)
+    covered = sum(n * sum(config) for config, n in solution)
+    assert (counts * sizes).sum() - covered < 1024
+    plan = packing.rounded(solution, counts, 1024)
+    used = np.zeros(1025, int)
+    for config, n in plan:
+        assert sum(config) <= 1024 and n > 0
+        np.add.at(used, list(config), n)
+    assert (used == counts).all()
+    fewest = sum(n for _, n in packing.packed(counts, 1024))
+    assert fewest <= min(sum(n for _, n in p) for p in (plan, packing.rounded([], counts, 1024)))
+
+
+def test_best_fit_in_runs_equals_piece_by_piece():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        counts = np.append(0, rng.integers(0, 6, 40))
+        rooms = []
+        for length in np.repeat(np.arange(41), counts)[::-1].tolist():
+            fit = min((r for r in rooms if r >= length), default=None)
+            if fit is not None:
+                rooms.remove(fit)
+            rooms.append((40 if fit is None else fit) - length)
+        plan = packing.best_fit(counts, 40)
+        assert sorted(40 - sum(own) for own, n in plan.items() for _ in range(n)) == sorted(rooms)
+        assert (np.bincount([x for own, n in plan.items() for x in own * n], minlength=41) == counts).all()
+    many = packing.best_fit(np.append(0, np.full(40, 10**9)), 40)
+    assert sum(n * sum(own) for own, n in many.items()) == 820 * 10**9
+
+
 def brute_fingerprint(text):
     import xxhash
     words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().translate(simhash._LOWER))
