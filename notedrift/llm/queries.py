@@ -135,3 +135,51 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bm25
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bm25.search(docs, docs.where(F.col("doc_id") % 100 == 0), k=10)
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two or three words of every language."""
+    from . import collocations
+    return collocations.collocations(table(spark, sf_dir, "documents"), min_count=10, longest=3, share=50, top=2000)
+
+
+#: The separators of pieces and words, lower case of A-Z alone, sums in 128 bits.
+ORACLES["op11_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+split as (
+  select lang, row_number() over () as id, list_filter(regexp_split_to_array(piece, '[ \t]'), lambda w: w <> '') as ws from pieces),
+flat as (select lang, id, ws, unnest(range(1, len(ws) + 1)) as i from split),
+grams as (
+  select lang, ws[i:i] as p from flat
+  union all select lang, ws[i:i + 1] from flat where i + 1 <= len(ws)
+  union all select lang, ws[i:i + 2] from flat where i + 2 <= len(ws)),
+f as (select lang, p, count(*) as c from grams group by lang, p),
+totals as (select lang, sum(c) as n from f where len(p) = 1 group by lang),
+candidates as (select lang, p, c from f where len(p) > 1 and c >= 10),
+inside as (
+  select lang, p[1:2] as p, c from candidates where len(p) = 3
+  union all select lang, p[2:3], c from candidates where len(p) = 3),
+longer as (select lang, p, max(c) as longest from inside group by lang, p),
+kept as (
+  select x.lang, x.p, x.c from candidates x left join longer y on x.lang = y.lang and x.p = y.p
+  where y.longest is null or 100 * y.longest < 50 * x.c),
+cuts as (
+  select lang, p, c, 1 as k, p[1:1] as lp, p[2:len(p)] as rp from kept
+  union all select lang, p, c, 2, p[1:2], p[3:3] from kept where len(p) = 3),
+scored as (
+  select x.lang, x.p, x.c as a, x.k, l.c as l, r.c as r,
+    (1000000::hugeint * x.c * x.c) // (l.c::hugeint * r.c) as score
+  from cuts x join f l on l.lang = x.lang and l.p = x.lp join f r on r.lang = x.lang and r.p = x.rp),
+best as (
+  select *, row_number() over (partition by lang, p order by score, k) as nth from scored),
+ranked as (
+  select lang, array_to_string(p, ' ') as phrase, a, l, r, score,
+    row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank
+  from best where nth = 1)
+select lang, rank::int as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from ranked join totals using (lang) where rank <= 2000
+""".replace("\\\\", "\\")
