@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .textops import hash_runs, mix64, slices
 
-SLICE = 4_000_000
+SLICE = 1_000_000
 #: Words a task holds before it hands on their counts.
-HELD_WORDS = 200_000
+HELD_WORDS = 80_000
 #: Most words that get a code in a table held by each task (8 bytes a word).
 MOST_CODES = (1 << 21) - 2
 #: Parts of a language that are ranked on their own before the last ranking.
