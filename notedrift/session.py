@@ -76,4 +76,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/notedrift-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table.materialized_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that `materialize` returned, once nothing reads it any more (no DataFrame that is still to run)."""
+    path = table.__dict__.pop("materialized_path", None)
+    if path and "/notedrift-tables/" in path:
+        jvm = table.sparkSession.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
