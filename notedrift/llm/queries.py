@@ -183,3 +183,44 @@ ranked as (
 select lang, rank::int as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
 from ranked join totals using (lang) where rank <= 2000
 """.replace("\\\\", "\\")
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as fixed-width bits by ascending id and read back."""
+    from . import token_files
+    files = token_files.write(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), pattern(), end_id=2)
+    return token_files.read(files)
+
+
+@query
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the embeddings whose id is divisible by 100; every seventh label is moved on by one."""
+    from . import negatives
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+ORACLES["op13_negatives"] = """
+with own as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+rows as (select *, row_number() over () as node from own),
+met as (
+  select a.node as an, a.id as anchor_id, a.label as al, b.node, b.id, b.label,
+    (select sum(a.v[i] * b.v[i]) from range(1, len(a.v) + 1) t(i))::bigint as score
+  from rows a join rows b on a.id % 100 = 0 and a.node <> b.node and len(a.v) = len(b.v)),
+positives as (
+  select an, anchor_id, al, id as positive_id, score as positive_score, node as pn
+  from met where label = al qualify row_number() over (partition by an order by score desc, id, node) <= 5),
+found as (
+  select p.anchor_id, p.positive_id, m.id as negative_id, p.positive_score, m.score as negative_score,
+    row_number() over (partition by p.an, p.pn order by m.score desc, m.id, m.node) as rank
+  from positives p join met m on m.an = p.an and m.label <> p.al
+    and 30 * p.positive_score <= 100 * m.score and 100 * m.score <= 90 * p.positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from found where rank <= 10
+"""
