@@ -242,12 +242,6 @@ def q_grid_search(spark, sf_dir):
     return spark.createDataFrame(rows, "reg_param DOUBLE, mean_accuracy DOUBLE")
 
 
-@register("nested_cv")
-def q_nested_cv(spark, sf_dir):
-    est = MD.logistic(1.0, 1).setMaxIter(25)
-    return MD.nested_cv(_vec(spark, sf_dir).persist(), est, {est.regParam: [0.1, 1.0]}, k_outer=3, k_inner=2)
-
-
 _NB_CV_SQL = """
 WITH pts AS (SELECT id, label, unnest(range(0, len(emb))) AS feature, CAST(unnest(emb) AS DOUBLE) AS value FROM ml_frame),
 folds AS (SELECT id, label, CAST(s AS INTEGER) AS seed,

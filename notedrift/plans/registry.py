@@ -31,4 +31,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its queries register."""
-    from . import q_filings, q_panel, q_text, q_stats, q_models  # noqa: F401
+    from . import q_filings, q_panel, q_text, q_stats, q_models, q_linear, q_experiments  # noqa: F401
