@@ -13,21 +13,23 @@ index of documents, so any range of ids is read from the blocks that hold it:
 All numbers are little-endian.  Eight ids of w bits are w bytes, so packing and
 unpacking are 8 + w numpy operations over whole blocks, for any width to 32 bits.
 
-Documents are encoded in place, then dealt by ranges of their id and sorted, so files
-in order hold the documents in order; a range also splits an id that many rows share.
+Ranges of the document id, one a file, come from a pass over the ids alone; a range also
+splits an id that many rows share.  Documents are then encoded in place, sent once, as
+ids, to the task of their range, and sorted there, so files in order hold the documents
+in order.
 Tasks name their file anew in each attempt and return a row about it: those rows are
 the manifest, so files of lost attempts are never read.  Files stand in a folder that
 all executors share (any store that Arrow's file systems reach).
 
 Defined results: a null text is the empty text (the end id alone); null ids come
-first; repeated ids stand in the order of their number of ids, then checksum, then as
-read; an empty table gives no files and an empty table.
+first; repeated ids stand in the order of a hash of their text, then as read; an empty table gives no files and an empty table.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +38,14 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir, materialize
 from .textops import text_slices
 from .vocab import vocabulary
 
 MAGIC = b"NDBITS01"
 BLOCK_IDS = 1 << 16
-#: Ids in a file (128 MB at 16 bits); small tables have smaller files, one for each core.
-FILE_IDS = 1 << 26
+#: Bytes of text in a file (about 32 MB of ids at 16 bits); small tables have smaller files, one for each core.
+FILE_BYTES = 1 << 26
 #: Ids that a reading task unpacks at a time.
 READ_IDS = 1 << 20
 
@@ -189,7 +191,11 @@ class TokenFile:
             lo = hi
 
 
-def _encoder(path: str, pattern: str, end_id: int | None, kind: str):
+def _place(key: int | None, tie: int, row: int) -> tuple:
+    return (key is not None, key or 0, tie, row)
+
+
+def _encoder(path: str, pattern: str, end_id: int | None, kind: str, bounds_of_files: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
         for batch in batches:
@@ -198,26 +204,26 @@ def _encoder(path: str, pattern: str, end_id: int | None, kind: str):
                 if end_id is not None:
                     ids = np.insert(ids, bounds[1:], end_id)
                     bounds = bounds + np.arange(len(bounds))
-                data = ids.astype("<u4")
-                crc = [zlib.crc32(data[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
                 small = ids.astype(kind)
                 stored = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((bounds * small.itemsize).astype(np.int64)), pa.py_buffer(small)])
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), stored.cast(pa.binary())],
-                                                 names=["key", "n", "crc", "ids"])
+                order = [batch.column(c).slice(lo, hi - lo) for c in ("key", "tie", "row")]
+                file = [bisect_right(bounds_of_files, _place(*x)) for x in zip(*(c.to_pylist() for c in order))]
+                yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), *order, pa.array(np.diff(bounds)), stored.cast(pa.binary())],
+                                                 names=["file", "key", "tie", "row", "n", "ids"])
     return run
 
 
 def _file_writer(folder: str, bits: int, kind: str, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
-        name, writer, first = f"{uuid.uuid4().hex}.ids", None, None
+        name, writer, number = f"{uuid.uuid4().hex}.ids", None, 0
         for batch in batches:
             if not len(batch):
                 continue
             if writer is None:
                 store.create_dir(base, recursive=True)
                 writer = Writer(store.open_output_stream(f"{base}/{name}"), bits, block_ids)
-                first = [batch.column(c)[0].as_py() for c in ("key", "n", "crc", "row")]
+                number = batch.column("file")[0].as_py()
             column = batch.column("ids").cast(pa.large_binary())
             _, offsets, values = column.buffers()
             bounds = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
@@ -225,13 +231,11 @@ def _file_writer(folder: str, bits: int, kind: str, block_ids: int):
             writer.append(batch.column("key").to_pylist(), batch.column("n").to_numpy(), ids)
         if writer is not None:
             writer.close()
-            kinds = [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([writer.n_ids], pa.int64()), *(pa.array([x], t) for x, t in zip(first, kinds))],
-                                             names=["file", "n_ids", "key", "n", "crc", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([writer.n_ids], pa.int64()), pa.array([number], pa.int32())], names=["name", "n_ids", "file"])
     return run
 
 
-def write(docs: DataFrame, vocab_path: str, pattern: str, folder: str | None = None, end_id: int | None = 2, file_ids: int = FILE_IDS,
+def write(docs: DataFrame, vocab_path: str, pattern: str, folder: str | None = None, end_id: int | None = 2, file_bytes: int = FILE_BYTES,
           block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of all documents by ascending id; the manifest: (path, n_ids, start), one row a file, in order.
 
@@ -243,20 +247,22 @@ def write(docs: DataFrame, vocab_path: str, pattern: str, folder: str | None = N
     if end_id is not None and end_id >> bits:
         raise ValueError(f"the end id {end_id} needs more than {bits} bits")
     kind = "<u2" if bits <= 16 else "<u4"
-    own = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    coded = own.mapInArrow(_encoder(vocab_path, pattern, end_id, kind), "key long, n long, crc long, ids binary")
-    coded = materialize(coded.withColumn("row", F.monotonically_increasing_id()), "op12-coded")
-    total = coded.agg(F.sum("n").alias("n")).first()["n"] or 0
-    files = max(1, spark.sparkContext.defaultParallelism, -(-total // file_ids))
-    order = [F.col("key").asc_nulls_first(), F.col("n"), F.col("crc"), F.col("row")]
-    dealt = coded.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    shape = "file string, n_ids long, key long, n long, crc long, row long"
-    written = materialize(dealt.mapInArrow(_file_writer(folder, bits, kind, block_ids), shape), "op12-manifest")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("key"), text.alias("text")).select("key", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, spark.sparkContext.defaultParallelism, -(-total // file_bytes))
+    ranges = own.drop("text").repartitionByRange(files, F.col("key").asc_nulls_first(), F.col("tie"), F.col("row"))
+    # the first row of each range: one row a file
+    lows = ranges.groupBy(F.spark_partition_id()).agg(F.min(F.struct(F.col("key").isNotNull().alias("there"), "key", "tie", "row")).alias("low")).collect()
+    bounds = sorted(_place(r["low"]["key"], r["low"]["tie"], r["low"]["row"]) for r in lows)[1:]
+    shape = "file int, key long, tie long, row long, n long, ids binary"
+    coded = own.mapInArrow(_encoder(vocab_path, pattern, end_id, kind, bounds), shape)
+    dealt = coded.repartitionById(len(bounds) + 1, F.col("file")).sortWithinPartitions(F.col("key").asc_nulls_first(), "tie", "row")
+    written = materialize(dealt.mapInArrow(_file_writer(folder, bits, kind, block_ids), "name string, n_ids long, file int"), "op12-manifest")
     # one row a file: the start of each is the sum of those before
-    found = written.orderBy(F.col("key").asc_nulls_first(), "n", "crc", "row").collect()
-    discard(coded)
+    found = written.orderBy("file").collect()
     starts = np.concatenate(([0], np.cumsum([r["n_ids"] for r in found], dtype=np.int64))).tolist()
-    return spark.createDataFrame([(f"{folder}/{r['file']}", r["n_ids"], s) for r, s in zip(found, starts)], "path string, n_ids long, start long")
+    return spark.createDataFrame([(f"{folder}/{r['name']}", r["n_ids"], s) for r, s in zip(found, starts)], "path string, n_ids long, start long")
 
 
 def _file_reader(with_ids: bool):

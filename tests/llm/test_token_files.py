@@ -82,11 +82,15 @@ def test_files_hold_every_document_in_order(spark):
     ids = rng.permutation(len(texts)).tolist()
     ids[3] = None
     ids[10] = ids[11] = ids[12] = 40  # an id of several documents
-    for options in ({}, {"block_ids": 64, "file_ids": 5000}):
+    for options in ({}, {"block_ids": 64, "file_bytes": 5000}):
         manifest = T.write(tables(spark, texts, ids), JSON, P.PATTERN, **options)
-        got = [tuple(r) for r in T.read(manifest, with_ids=True).collect()]
-        key = lambda r: r[1]
-        assert [(a, b, c, d, list(e)) for a, b, c, d, e in sorted(got, key=key)] == expected(texts, ids)
+        got = sorted(((a, b, c, d, list(e)) for a, b, c, d, e in T.read(manifest, with_ids=True).collect()), key=lambda r: r[1])
+        want = expected(texts, ids)
+        # the documents of one id stand in an order of their own
+        assert sorted((r[0], r[2:]) for r in got if r[0] is not None) == sorted((r[0], r[2:]) for r in want if r[0] is not None)
+        assert [r[0] for r in got] == [r[0] for r in want]
+        assert [r for r in got if r[0] != 40] == [r for r in want if r[0] != 40]
+        assert all(x[1] + x[2] == y[1] for x, y in zip(got, got[1:])) and got[0][1] == 0
         starts = [(r.start, r.n_ids) for r in manifest.orderBy("start").collect()]
         assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
 
@@ -94,7 +98,7 @@ def test_files_hold_every_document_in_order(spark):
 def test_files_of_one_repeated_id_are_split(spark):
     """Copies under one id go to many files, none of them holds all."""
     texts, ids = ["same text here"] * 400, [7] * 400
-    manifest = T.write(tables(spark, texts, ids), JSON, P.PATTERN, file_ids=100)
+    manifest = T.write(tables(spark, texts, ids), JSON, P.PATTERN, file_bytes=200)
     assert manifest.count() > 8
     got = T.read(manifest).collect()
     assert len(got) == 400 and sorted(r.start for r in got) == [r[1] for r in expected(texts, ids)]
