@@ -2,16 +2,21 @@
 
 Every piece of a document is at most ``capacity`` tokens long, so all that the
 packing has to know is the histogram of piece lengths (``capacity`` counts,
-whatever the corpus size).  On it a configuration (a multiset of lengths that
-fits one sequence) program is solved by multiplicative weights: a length's
-weight rises with the share of its pieces that is still uncovered, a knapsack
-dynamic program prices the best configuration, and a step of it is taken that
-never covers more pieces than there are.  The fractional solution is rounded
-down, rounded up again where all pieces of one more sequence are left, and
-best-fit decreasing places the rest in runs of equal lengths.  The program runs
-until less than one sequence is uncovered, so its rest comes from rounding alone.
-Its first configurations with best fit for what they leave are plans too; the
-plan of fewest sequences is taken, and the share of each rest is logged.
+whatever the corpus size).  On it the configuration program is solved: amounts of
+configurations (multisets of lengths that fit one sequence), as few as possible, that
+cover the pieces.  Its rows are the numbers of pieces of a length or more, because a
+place of a sequence also takes a shorter piece; that is the same program, with prices
+that never fall with the length.  The price of a row is its multiplicative weight over
+its full demand; a round finds the configuration of highest price by a knapsack dynamic
+program, takes a step of it, and lowers the weights of the rows by how much of their
+demand the step covers.  Prices divided by the price of that configuration are feasible
+duals, so every round also gives a lower bound of the sequences; the rounds end once the
+program is within ``GAP`` of the best bound.
+
+The fractional solution is rounded down, then up where pieces are left; where a length
+has run out, a shorter piece takes its place.  A sequence is kept only if its pieces are
+worth a whole one at the best dual prices (within ``SLACK``).  Best fit places the rest
+of the rounding, first into the room left in those sequences; its share is logged.
 
 The corpus itself is never collected: each piece gets its rank among the pieces
 of its length (rank in its task at reading, plus the counts of earlier tasks),
@@ -26,7 +31,7 @@ from __future__ import annotations
 import logging
 import zlib
 from collections.abc import Iterator
-from itertools import count
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,107 +44,146 @@ from .textops import text_slices
 from .vocab import vocabulary
 
 CAPACITY = 1024
-ETA = 6.0
+#: Factor of the weights' fall, most rounds, relative gap of program and bound at which it ends, rounds between checks.
+ETA, ROUNDS, GAP, CHECKED = 1.0, 1_500, 0.003, 50
+#: Share of the price of a whole sequence that a rounded sequence may lack.
+SLACK = 0.002
 
 log = logging.getLogger(__name__)
 
 
-def best_configuration(values: np.ndarray, capacity: int) -> list[int]:
-    """Lengths of the multiset of largest value that fits; ``values[l]`` is that of length l (0: not offered)."""
-    offered = np.flatnonzero(values > 0)
+@dataclass
+class Program:
+    """Amounts of configurations that cover all pieces, the best feasible dual prices by length, and their bound."""
+
+    amounts: list[tuple[tuple[int, ...], float]]
+    prices: np.ndarray
+    bound: float
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[list[int], float]:
+    """The multiset of lengths (places in ``lengths``, ascending) of highest price that fits, and the price."""
     best = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, np.int64)
+    choice = np.full(capacity + 1, -1)
+    usable = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for room in range(1, capacity + 1):
-        usable = offered[: np.searchsorted(offered, room, "right")]
-        best[room], choice[room] = best[room - 1], 0
-        if len(usable):
-            got = best[room - usable] + values[usable]
-            k = int(np.argmax(got))
+        n = usable[room]
+        best[room] = best[room - 1]
+        if n:
+            got = best[room - lengths[:n]] + prices[:n]
+            k = got.argmax()
             if got[k] > best[room]:
-                best[room], choice[room] = got[k], usable[k]
+                best[room], choice[room] = got[k], k
     room, taken = capacity, []
     while room > 0:
-        if choice[room]:
-            taken.append(int(choice[room]))
-            room -= taken[-1]
+        k = int(choice[room])
+        if k >= 0:
+            taken.append(k)
+            room -= int(lengths[k])
         else:
             room -= 1
-    return sorted(taken, reverse=True)
+    return taken, float(best[capacity])
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int | None = None) -> list[tuple[tuple[int, ...], float]]:
-    """Fractional configuration program by multiplicative weights: (configuration, amount) pairs.
+def step_prices(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Feasible duals that need no program: lengths over capacity - x cost one, those under x nothing, others their size; the best x."""
+    sizes = np.arange(capacity + 1)
+    found = []
+    for x in range(capacity // 2 + 1):
+        prices = np.where(sizes > capacity - x, 1.0, np.where(sizes < x, 0.0, sizes / capacity))
+        found.append((float((counts * prices).sum()), x, prices))
+    bound, _, prices = max(found, key=lambda f: f[:2])
+    return prices, bound
 
-    Without ``rounds`` it runs until less than one sequence is uncovered.  That
-    ends: a round uses up a length or takes a sixtieth of the mass in sequences,
-    each more than half full, so rounds are at most the lengths plus a multiple
-    of the logarithm of the mass.
-    """
-    demand = counts.astype(float).copy()
-    left = demand.copy()
-    sizes = np.arange(capacity + 1) / capacity
+
+def program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Program:
+    """Solve the configuration program by multiplicative weights."""
+    prices, bound = step_prices(counts, capacity)
+    lengths = np.flatnonzero(counts)
+    if not len(lengths):
+        return Program([], prices, 0.0)
+    demand = np.cumsum(counts[lengths][::-1].astype(float))[::-1]  # pieces of this length or more
+    covered = np.zeros(len(lengths))  # share of the demand
     amounts: dict[tuple[int, ...], float] = {}
-    if left[capacity] > 0:  # pieces as long as a sequence fill one each
-        amounts[(capacity,)] = float(left[capacity])
-        left[capacity] = 0
-    total = float((left * sizes).sum())
-    for _ in count() if rounds is None else range(rounds):
-        mass = float((left * sizes).sum())
-        if mass < 1.0:
+    total = 0.0
+    for done in range(1, rounds + 1):
+        weight = np.exp(-ETA * (covered - covered.min()))
+        price = np.cumsum(weight / demand)
+        taken, most = knapsack(lengths, price, capacity)
+        if weight.sum() / most > bound:
+            bound = float(weight.sum() / most)
+            prices = np.zeros(capacity + 1)
+            prices[lengths] = price / most
+        share = np.cumsum(np.bincount(taken, minlength=len(lengths))[::-1])[::-1] / demand
+        step = 1 / float(share.max())
+        covered += step * share
+        total += step
+        config = tuple(int(lengths[k]) for k in sorted(taken, reverse=True))
+        amounts[config] = amounts.get(config, 0.0) + step
+        if done % CHECKED == 0 and covered.min() > 0 and total / covered.min() <= bound * (1 + GAP):
             break
-        share = np.divide(left, demand, out=np.zeros_like(left), where=demand > 0)
-        mean = mass / total
-        weight = np.where(left > 1e-9, sizes * np.exp(np.clip(ETA * (share / mean - 1) * sizes / 4, -20, 20)), 0.0)
-        # value for size first, the weight decides among full configurations
-        config = best_configuration(np.where(weight > 0, sizes + 0.02 * weight, 0.0), capacity)
-        if not config:
-            break
-        lengths, copies = np.unique(config, return_counts=True)
-        step = min(float((left[lengths] / copies).min()), max(0.25, mass / 60))
-        key = tuple(config)
-        amounts[key] = amounts.get(key, 0.0) + step
-        left[lengths] -= step * copies
-        left[left < 1e-9] = 0
-    return list(amounts.items())
+    if covered.min() <= 0:  # too few rounds for every row: what is left bare gets sequences of one piece
+        bare = lengths[covered <= 0]
+        scale = max(1.0, float(covered.max()))
+        return Program([*((c, n / scale) for c, n in amounts.items()), *(((int(x),), float(counts[x])) for x in bare)], prices, bound)
+    scale = float(covered.min())
+    log.info("packing: program of %.1f sequences, bound %.1f, %d configurations", total / scale, bound, len(amounts))
+    return Program([(c, n / scale) for c, n in amounts.items()], prices, bound)
 
 
-def rounded(solution: list[tuple[tuple[int, ...], float]], counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Whole numbers of sequences of each configuration that use every piece exactly once."""
+def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], float]]:
+    """The amounts of `program`."""
+    return program(counts, capacity, rounds).amounts
+
+
+def rounded(solution: list[tuple[tuple[int, ...], float]], counts: np.ndarray, capacity: int,
+            prices: np.ndarray | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """Whole numbers of sequences of each configuration that use every piece exactly once.
+
+    ``prices``: feasible duals; a sequence of the solution is kept if its pieces are worth 1 - SLACK at them.
+    """
+    prices = step_prices(counts, capacity)[0] if prices is None else prices
     left = counts.astype(np.int64).copy()
     plan: dict[tuple[int, ...], int] = {}
 
     def take(config: tuple[int, ...], n: int) -> None:
-        if n > 0:
-            lengths, copies = np.unique(config, return_counts=True)
-            left[lengths] -= n * copies
-            plan[config] = plan.get(config, 0) + n
+        """Up to ``n`` sequences; a length that has run out gives its place to the next shorter one."""
+        while n > 0:
+            used: dict[int, int] = {}
+            for length in config:
+                while length > 0 and left[length] <= used.get(length, 0):
+                    length -= 1
+                if length:
+                    used[length] = used.get(length, 0) + 1
+            if sum(prices[x] * k for x, k in used.items()) < 1 - SLACK:
+                return
+            copies = min(n, min(int(left[x]) // k for x, k in used.items()))
+            for x, k in used.items():
+                left[x] -= copies * k
+            key = tuple(x for x, k in sorted(used.items(), reverse=True) for _ in range(k))
+            plan[key] = plan.get(key, 0) + copies
+            n -= copies
 
-    for config, amount in solution:
+    for config, amount in sorted(solution, key=lambda x: -x[1]):
         take(config, int(amount + 1e-9))
     for config, amount in sorted(solution, key=lambda x: -(x[1] % 1)):
-        lengths, copies = np.unique(config, return_counts=True)
-        if sum(config) == capacity:
-            take(config, min(1, int((left[lengths] // copies).min())))
-    pieces, mass = int(counts.sum()), float((counts * np.arange(capacity + 1)).sum())
-    log.info("packing: %d of %d pieces, %.3g of the tokens, are placed by best fit", left.sum(), pieces, (left * np.arange(capacity + 1)).sum() / max(mass, 1))
-    for config, n in best_fit(left, capacity).items():
-        plan[config] = plan.get(config, 0) + n
-    return list(plan.items())
+        take(config, 1)
+    mass = float((counts * np.arange(capacity + 1)).sum())
+    log.info("packing: %d of %d pieces, %.3g of the tokens, are placed by best fit", left.sum(), counts.sum(), (left * np.arange(capacity + 1)).sum() / max(mass, 1))
+    return list(best_fit(left, capacity, plan).items())
 
 
 def packed(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The plan of fewest sequences among those of the whole program and of its first configurations, best fit placing the rest.
-
-    Taking full sequences first can leave long pieces without partners (lengths with uneven counts), where best fit is better.
-    """
-    solution = solve(counts, capacity)
-    plans = [rounded(solution[:k], counts, capacity) for k in [len(solution), *range(0, len(solution), 50)]]
-    return min(plans, key=lambda plan: sum(n for _, n in plan))
+    """The rounded program."""
+    solved = program(counts, capacity)
+    return rounded(solved.amounts, counts, capacity, solved.prices)
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
-    """Best-fit decreasing in runs of equal lengths: sequences of each configuration, as if placed piece by piece."""
+def best_fit(counts: np.ndarray, capacity: int, opened: dict[tuple[int, ...], int] | None = None) -> dict[tuple[int, ...], int]:
+    """Best-fit decreasing in runs of equal lengths, as if placed piece by piece into the ``opened`` sequences and new ones."""
     rooms: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]  # open sequences by room left
+    for config, n in (opened or {}).items():
+        rooms[capacity - sum(config)][config] = n
     for length in np.flatnonzero(counts)[::-1].tolist():
         k = int(counts[length])
         while k:

@@ -53,7 +53,6 @@ def test_bpe_chunks_equal_whole_texts(spark):
 def test_packing_places_every_piece(spark):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     texts = TEXTS + ["lorem ipsum dolor " * n for n in (10, 300, 300, 700)]
     got = packing.pack(frame(spark, texts, list(range(len(texts)))), JSON, P.PATTERN).collect()
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
@@ -122,6 +121,50 @@ def test_configuration_program_runs_to_its_end():
     assert fewest <= min(sum(n for _, n in p) for p in (plan, packing.rounded([], counts, 1024)))
 
 
+def histograms():
+    rng = np.random.default_rng(0)
+    return {"uniform": np.append(0, rng.integers(0, 5000, 1024)), "exponential": np.append(0, rng.exponential(2000, 1024).astype(int) + 1),
+            "log-normal": np.append(0, rng.lognormal(6, 2, 1024).astype(int) + 1), "long": np.bincount(rng.integers(200, 1024, 20000), minlength=1025),
+            "half": np.bincount(rng.integers(300, 700, 200000), minlength=1025)}
+
+
+@pytest.mark.parametrize("name", ["uniform", "exponential", "log-normal", "long", "half"])
+def test_program_is_bounded_and_packs_as_well_as_best_fit(name):
+    counts = histograms()[name]
+    solved = packing.program(counts, 1024)
+    # the prices are feasible duals: no configuration is worth more than one, so their value is a lower bound
+    lengths = np.flatnonzero(counts)
+    _, worth = packing.knapsack(lengths, solved.prices[lengths], 1024)
+    assert worth <= 1 + 1e-9 and (counts * solved.prices).sum() == pytest.approx(solved.bound)
+    assert solved.bound >= (counts * np.arange(1025)).sum() / 1024 - 1e-6
+    # the amounts cover every length with places of that length or more
+    places = np.zeros(1025)
+    for config, n in solved.amounts:
+        np.add.at(places, list(config), n)
+    assert (np.cumsum(places[::-1]) >= np.cumsum(counts[::-1]) * (1 - 1e-9)).all()
+    assert sum(n for _, n in solved.amounts) <= solved.bound * 1.015
+    plan = packing.rounded(solved.amounts, counts, 1024, solved.prices)
+    used = np.zeros(1025, int)
+    for config, n in plan:
+        assert sum(config) <= 1024 and n > 0
+        for x in config:
+            used[x] += n
+    assert (used == counts).all()
+    sequences = sum(n for _, n in plan)
+    assert sequences <= solved.bound * 1.005 + len(lengths)
+    assert sequences <= sum(packing.best_fit(counts, 1024).values()) * 1.002
+
+
+def test_knapsack_equals_all_multisets():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        lengths = np.sort(rng.choice(np.arange(2, 13), 4, replace=False))
+        prices = rng.random(4)
+        most = max((sum(k * p for k, p in zip(ks, prices)) for ks in np.ndindex(*(20 // x + 1 for x in lengths)) if np.dot(ks, lengths) <= 20))
+        taken, worth = packing.knapsack(lengths, prices, 20)
+        assert worth == pytest.approx(most) and sum(lengths[k] for k in taken) <= 20 and sum(prices[k] for k in taken) == pytest.approx(worth)
+
+
 def test_best_fit_in_runs_equals_piece_by_piece():
     rng = np.random.default_rng(7)
     for _ in range(50):
