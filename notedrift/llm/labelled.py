@@ -18,15 +18,19 @@ def held_out(key) -> "F.Column":
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text",
-                  rows: int = SAMPLE_ROWS, shards: int = SHARDS) -> DataFrame:
+                  rows: int = SAMPLE_ROWS, shards: int = SHARDS, more_of: int | None = None) -> DataFrame:
     """(shard, text, label) of at most ``rows`` labelled documents that are not held out, the least by a hash of their id.
 
+    ``more_of``: a label that may be rare; the least quarter of ``rows`` of its documents is in the sample as well.
+
     An id with contradicting labels is left out; of documents that share an id
     one counts.  Only (id, label) pairs of the sample, at most ``rows``, are broadcast.
     """
     known = (labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("key"))
              .agg(F.min(label).alias("label"), F.max(label).alias("high")).where("label = high").select("key", "label"))
     sample = known.orderBy(F.xxhash64("key"), "key").limit(rows)
+    if more_of is not None:
+        sample = sample.union(known.where(F.col("label") == more_of).orderBy(F.xxhash64("key"), "key").limit(rows // 4)).distinct()
     own = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return (own.join(F.broadcast(sample), "key").groupBy("key").agg(F.min(F.struct("text", "label")).alias("r"))
             .select(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(shards)).alias("shard"), "r.text", "r.label"))

@@ -39,7 +39,6 @@ from .vocab import LETTER, class_table, code_points, lower_table
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 16
-SUFFIXES = 10_000
 #: Trigrams count as at most so many independent ones, for they are not.
 INDEPENDENT = 200
 #: Pseudo-counts with which a host and a domain are drawn to the level above.
@@ -86,8 +85,9 @@ def declared_language(value: Column) -> Column:
 
 
 def html_language(html: Column) -> Column:
-    """The value of the lang attribute of an html element."""
-    return F.regexp_extract(html, r"""(?i)<html\b[^>]{0,2000}?\slang\s*=\s*["']?([A-Za-z_-]+)""", 1)
+    """The value of the lang attribute of the first html element, however long its tag is."""
+    tag = F.regexp_extract(html, r"""(?i)<html\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+)""", 1)
+    return F.regexp_extract(tag, r"""(?i)\slang\s*=\s*["']?([A-Za-z_-]+)""", 1)
 
 
 def address_host(url: Column) -> Column:
@@ -142,7 +142,7 @@ def _text_posterior(likelihood: Column, width: int) -> list[Column]:
 def identify(rows: DataFrame, model: Model, text: str, declared: str | None, host: str | None, least: float = LEAST, verdict: str = "verdict") -> DataFrame:
     """All rows and columns, with ``verdict``: struct<language, probability, accepted> added.
 
-    ``rows`` is read twice and should be a table.  A column of the name of
+    ``rows`` is read once.  A column of the name of
     ``verdict`` is replaced.
     """
     langs, width = model.languages, len(model.languages)
@@ -155,8 +155,9 @@ def identify(rows: DataFrame, model: Model, text: str, declared: str | None, hos
               .withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
               .withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
     body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
-    seen = (packed.select("declared", "host", "suffix", "domain", model.likelihood(body).alias("t"))
-            .select("declared", "host", "suffix", "domain", *(c.alias(n) for c, n in zip(_text_posterior(F.col("t"), width), p))))
+    # the text is scored once: the rows are written with their likelihoods
+    packed = materialize(packed.withColumn("t", model.likelihood(body)), "op2-scored")
+    seen = (packed.select("declared", "host", "suffix", "domain", *(c.alias(n) for c, n in zip(_text_posterior(F.col("t"), width), p))))
     sums = [F.sum(c).alias(c) for c in p]
     # one row for each host and declared value (five or so a host)
     evidence = materialize(seen.groupBy("host", "domain", "suffix", "declared").agg(F.count("*").alias("n"), *sums), "op2-evidence")
@@ -171,20 +172,20 @@ def identify(rows: DataFrame, model: Model, text: str, declared: str | None, hos
     values = [*langs, "other"]
     of_declared = {v: [((said[v][c] if v in said else 0.0) + 0.5) / (shown[k] + 0.5 * len(values)) for k, c in enumerate(p)] for v in values}
 
-    # p(suffix | language) over the bounded list of frequent suffixes
-    suffixes = rolled("suffix").where("suffix != ''").orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
+    # p(suffix | language) of every suffix
+    suffixes = rolled("suffix").where("suffix != ''")
     suffixes = suffixes.select("suffix", *(F.log((F.col(c) + base[k]) / (every[c] + 1.0 if total else 1.0)).alias(f"s{k}") for k, c in enumerate(p)))
 
     def smoothed(above: list[Column]) -> list[Column]:
         return [(F.col(f"x.{c}") + STRENGTH * above[k]) / (F.col("x.n") + STRENGTH) for k, c in enumerate(p)]
 
     domains = rolled("domain").alias("x").select(F.col("x.domain"), *(c.alias(f"d{k}") for k, c in enumerate(smoothed([F.lit(b) for b in base]))))
-    hosts = (rolled("host", "domain").alias("x").join(domains.alias("y"), F.col("x.domain") == F.col("y.domain"))
-             .select(F.col("x.host"), F.col("x.n"), *(F.log(c).alias(f"h{k}") for k, c in enumerate(smoothed([F.col(f"y.d{k}") for k in range(width)])))))
-    hosts = materialize(hosts, "op2-hosts")
+    # a host has one domain and one suffix, so its row carries the evidence of all three
+    hosts = (rolled("host", "domain", "suffix").alias("x").join(domains.alias("y"), F.col("x.domain") == F.col("y.domain"))
+             .select(F.col("x.host"), F.col("x.suffix"), F.col("x.n"), *(F.log(c).alias(f"h{k}") for k, c in enumerate(smoothed([F.col(f"y.d{k}") for k in range(width)])))))
+    hosts = materialize(hosts.join(suffixes, "suffix", "left").drop("suffix"), "op2-hosts")
 
-    joined = join_even(packed.select("row", "declared", "host", "suffix"), hosts, "host", "n", total)
-    joined = joined.join(F.broadcast(suffixes), "suffix", "left").withColumn("t", model.likelihood(body))
+    joined = join_even(packed.select("row", "declared", "host", "t"), hosts, "host", "n", total)
     odds = []
     for k in range(width):
         declared_odds = F.lit(0.0)

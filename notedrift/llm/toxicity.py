@@ -28,8 +28,8 @@ from .vocab import words
 #: First value of the log odds of a sentence without evidence, which are learned too.
 BIAS = -7.0
 EPOCHS, RATE, KEEP, DECAY = 12, 0.3, 0.9, 1e-3
-#: Words of fewer sample documents than this, or than one in RARE, are not learned: they would memorise single documents.
-MIN_DOCS, RARE = 5, 400
+#: Words of fewer toxic sample documents than this are not learned: they would memorise single documents.
+MIN_DOCS = 5
 _ENDS = np.array([ord(c) for c in ".!?。！？\n"], np.uint32)
 
 
@@ -75,8 +75,10 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def fit_noisy_or(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     bags = _bags(texts)
-    every, docs = np.unique(np.concatenate([np.unique(h) for h, _ in bags]) if bags else np.empty(0, np.uint64), return_counts=True)
-    vocab = every[docs >= max(MIN_DOCS, len(texts) // RARE)]
+    # a word that no toxic document has says nothing that the bias does not
+    toxic = [np.unique(h) for (h, _), y in zip(bags, labels) if y > 0]
+    every, docs = np.unique(np.concatenate(toxic) if toxic else np.empty(0, np.uint64), return_counts=True)
+    vocab = every[docs >= MIN_DOCS]
     if not len(vocab):
         return np.array([-1]), np.array([BIAS])
     rows = []
@@ -110,7 +112,7 @@ def fit_noisy_or(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) ->
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> dict[int, float]:
     """Weights by word hash, bounded by the words of the sample; see `labelled.training_rows` for the rows used."""
-    return averaged(training_rows(docs, labels, label, id_col, text_col, shards=1), fit_noisy_or)
+    return averaged(training_rows(docs, labels, label, id_col, text_col, shards=1, more_of=1), fit_noisy_or)
 
 
 def score(model: dict[int, float], text: Column) -> Column:
