@@ -70,7 +70,7 @@ def test_every_suffix_is_evidence(spark):
     model = language.train(df, "text", "lang", ("en", "fr"))
     got = {r.id: r.verdict for r in language.identify(df, model, "text", "lang", "host").where("id >= 3000").collect()}
     french = {i: v.probability if v.language == "fr" else 1 - v.probability for i, v in got.items()}
-    assert all(v.accepted for v in got.values()) and french[3000] > 10 * french[3001]
+    assert all(v.accepted for v in got.values()) and french[3000] > 5 * french[3001] > 0
 
 
 def test_rare_toxic_words_are_learned(spark):
