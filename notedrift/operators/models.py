@@ -19,7 +19,7 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, MinMaxScaler, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, HashingTF, MinMaxScaler, Normalizer, PolynomialExpansion, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -88,6 +88,22 @@ def scaled(estimator, inputs: str = "features", out: str = "nn") -> Pipeline:
     return Pipeline(stages=[MinMaxScaler(inputCol=inputs, outputCol="_scaled"), NonNegative("_scaled", out), estimator])
 
 
+def standardised(estimator, inputs: str = "features", out: str = "std") -> Pipeline:
+    """Mean 0 and deviation 1 by the training rows, then the estimator, in one Pipeline."""
+    return Pipeline(stages=[StandardScaler(inputCol=inputs, outputCol=out, withMean=True, withStd=True), estimator])
+
+
+def text_vectors(df: DataFrame, text: str, numbers: Sequence[str], out: str = "features", bits: int = 18) -> DataFrame:
+    """Hashed TF-IDF of unit length beside numbers as one sparse vector, made on the JVM: no vocabulary is kept.
+
+    A null text has no terms; ``numbers`` must not be null."""
+    own = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    stages = [RegexTokenizer(inputCol="_text", outputCol="_words", gaps=False, pattern=r"[\p{L}\p{N}_]{2,}"),
+              HashingTF(inputCol="_words", outputCol="_tf", numFeatures=1 << bits), IDF(inputCol="_tf", outputCol="_idf"),
+              Normalizer(inputCol="_idf", outputCol="_unit"), VectorAssembler(inputCols=["_unit", *numbers], outputCol=out)]
+    return Pipeline(stages=stages).fit(own).transform(own).drop("_text", "_words", "_tf", "_idf", "_unit")
+
+
 def random_forest(features: str = "features", label: str = "label") -> RandomForestClassifier:
     """100 trees of depth 2, seed 0."""
     return RandomForestClassifier(numTrees=100, maxDepth=2, seed=0, featuresCol=features, labelCol=label)
@@ -180,6 +196,27 @@ def repeated_cv(df: DataFrame, make_estimator: Callable[[], object], id_col: str
     return df.sparkSession.createDataFrame(rows, "seed INT, fold INT, accuracy DOUBLE, f1_macro DOUBLE")
 
 
+def fold_scores(df: DataFrame, grid: dict, fold: str = "fold", label: str = "label", parallel: int = 8) -> DataFrame:
+    """Every estimator of ``grid`` (by its name) on every fold of one fold column: ``(params, fold, accuracy, f1_macro)``.
+
+    Estimators of different kinds and with different preparation (Pipelines) stand side by side; ``parallel`` fits
+    are submitted at a time."""
+    data = df.persist()
+    folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # few
+
+    def fit(task: tuple) -> tuple:
+        name, f = task
+        model = grid[name].copy().fit(data.filter(F.col(fold) != f))
+        pred = model.transform(data.filter(F.col(fold) == f))
+        r = classification_metrics(pred.select(F.col(label).cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"))).collect()
+        return name, int(f), *((float(r[0]["accuracy"]), float(r[0]["f1_macro"])) if r else (None, None))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), [(n, f) for n in grid for f in folds]))
+    data.unpersist()
+    return df.sparkSession.createDataFrame(rows, "params STRING, fold INT, accuracy DOUBLE, f1_macro DOUBLE")
+
+
 def grid_search(df: DataFrame, estimator, grid: dict, fold_col: str = "fold", label: str = "label", k: int = 5):
     """Choose parameters by mean cross-validated accuracy over ``fold_col``."""
     builder = ParamGridBuilder()
@@ -211,3 +248,15 @@ def ml_stages(df: DataFrame, inputs: Sequence[str], label: str = "label") -> Pip
                             MinMaxScaler(inputCol="_raw", outputCol="features"),
                             complement_nb("features", label)])
     return pipe.fit(df)
+
+
+def fitted_values(model: PipelineModel, inputs: Sequence[str], spark) -> DataFrame:
+    """What the stages of `ml_stages` learned: ``(stage, name, feature, value)`` - the range of every input and its
+    log weight in every class (one row a value; a model is small)."""
+    rows = []
+    for i, stage in enumerate(model.stages):
+        if hasattr(stage, "originalMin"):
+            rows += [(i, name, f, float(v)) for name, vector in (("min", stage.originalMin), ("max", stage.originalMax)) for f, v in zip(inputs, vector)]
+        elif hasattr(stage, "theta"):
+            rows += [(i, f"class {c}", f, float(stage.theta[c, k])) for c in range(stage.theta.numRows) for k, f in enumerate(inputs)]
+    return spark.createDataFrame(rows, "stage INT, name STRING, feature STRING, value DOUBLE")

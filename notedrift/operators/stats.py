@@ -76,14 +76,14 @@ def _group_stats(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def _join_null_safe(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Inner join on ``by`` in which null equals null."""
+def _join_null_safe(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``by`` in which null equals null."""
     right = stats.select(*[F.col(c).alias(f"_k_{c}") if c in by else F.col(c) for c in stats.columns])
     cond = None
     for c in by:
         same = df[c].eqNullSafe(right[f"_k_{c}"])
         cond = same if cond is None else cond & same
-    return df.join(right, cond).drop(*[f"_k_{c}" for c in by])
+    return df.join(right, cond, how).drop(*[f"_k_{c}" for c in by])
 
 
 def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -94,11 +94,11 @@ def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _with_group_quantiles(df: DataFrame, by: Sequence[str], col: str, probs, out: str) -> DataFrame:
-    """Attach exact per-group quantiles (array column ``out``) by key."""
+    """Attach exact per-group quantiles (array column ``out``) by key; null is a group like any other."""
     if by:
-        return df.join(group_quantiles(df, list(by), col, probs, out), list(by), "left")
-    tmp = df.withColumn("_all", F.lit(0))
-    return tmp.join(group_quantiles(tmp, ["_all"], col, probs, out), ["_all"], "left").drop("_all")
+        return _join_null_safe(df, group_quantiles(df, list(by), col, probs, out), by, "left")
+    q = group_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], col, probs, out)
+    return df.withColumn(out, q.select(out).scalar())
 
 
 def reject_outliers_sigma(df: DataFrame, col: str, m: float = 3.0, by: Sequence[str] = ()) -> DataFrame:
@@ -296,7 +296,7 @@ def shapiro_wilk(df: DataFrame, value: str, sample: str) -> DataFrame:
     """W statistic and p-value per sample (Royston's approximation, n >= 3)."""
     r = group_ranks(df.select(sample, value), sample, value, out="i")
     n = r.groupBy(sample).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("_mean"))
-    r = r.join(n, sample).withColumn("m", blom_score(F.col("i"), F.col("n")))
+    r = _join_null_safe(r, n, [sample]).withColumn("m", blom_score(F.col("i"), F.col("n")))
     u = F.lit(1.0) / F.sqrt(F.col("n"))
     g = (r.groupBy(sample).agg(F.sum(F.col("m") * F.col("m")).alias("mm"), F.max("m").alias("mn"),
                                F.max(F.when(F.col("i") == F.col("n") - 1, F.col("m"))).alias("mn1"), F.first("n").alias("n")))
@@ -308,7 +308,7 @@ def shapiro_wilk(df: DataFrame, value: str, sample: str) -> DataFrame:
                  F.when(big, an1).alias("an1"),
                  F.when(big, (F.col("mm") - 2 * F.col("mn") ** 2 - 2 * F.col("mn1") ** 2) / (1 - 2 * an ** 2 - 2 * an1 ** 2))
                   .otherwise((F.col("mm") - 2 * F.col("mn") ** 2) / (1 - 2 * an ** 2)).alias("phi"))
-    r = r.join(g.drop("n"), sample)
+    r = _join_null_safe(r, g.drop("n"), [sample])
     i, nn = F.col("i"), F.col("n")
     a = (F.when(i == nn, F.col("an")).when(i == 1, -F.col("an"))
           .when(F.col("an1").isNotNull() & (i == nn - 1), F.col("an1"))
@@ -329,34 +329,61 @@ def normality_report(df: DataFrame, value: str, sample: str, alpha: float = 0.05
     return sw.withColumn("normal", F.col("p") >= alpha)
 
 
+#: Accuracy of the brackets, and values inside a bracket that a group may gather.
+ACCURACY, INSIDE = 10_000, 1_000_000
+
+
 def group_quantiles(df: DataFrame, group: Sequence[str] | str, value: str, probs: Sequence[float],
                     out: str = "q") -> DataFrame:
-    """Exact linear-interpolation quantiles per group (the same definition as
-    ``percentile``), computed from distributed ranks: only the order
-    statistics around each quantile position are picked out by one equi-join
-    on (group, rank), so no group's values are ever gathered in one task.
-    Returns ``(group..., <out>: array<double>)`` in the order of ``probs``."""
+    """Exact linear-interpolation quantiles per group (the same definition as ``percentile``) by bracketed selection.
+
+    One scan gives each group's size and, by a sketch of bounded rank error, two values between which every wanted
+    order statistic lies.  A second scan counts the values below a bracket and at its ends and gathers only those
+    strictly inside: a thousandth of a large group at most (a value that many rows share is an end of the bracket), and by
+    a finer sketch never more than ``INSIDE``.  No row is sorted as a whole or written.  Null is a group like
+    any other; null values do not count.  Returns ``(group..., <out>: array<double>)`` in the order of ``probs``."""
     groups = [group] if isinstance(group, str) else list(group)
     x = df.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    x = x.withColumn("_g", F.to_json(F.struct(*groups))) if len(groups) > 1 else x.withColumn("_g", F.col(groups[0]))
-    keys = x.select(*groups, "_g").distinct() if len(groups) > 1 else None
-    r = group_ranks(x.select("_g", "_v"), "_g", "_v", out="_r")
-    n = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    pts = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    t = (n.select("_g", "_n", F.explode(pts).alias("_pp"))
-          .select("_g", F.col("_pp.k").alias("_k"), ((F.col("_n") - 1) * F.col("_pp.p")).alias("_pos")))
-    # one target row per order statistic needed: (group, rank, quantile index, lower/upper)
-    lo_hi = F.array(F.struct((F.floor("_pos") + 1).cast("long").alias("rank"), F.lit(True).alias("is_lo")),
-                    F.struct((F.ceil("_pos") + 1).cast("long").alias("rank"), F.lit(False).alias("is_lo")))
-    targets = (t.select("_g", "_k", "_pos", F.explode(lo_hi).alias("_t"))
-                .select("_g", "_k", "_pos", F.col("_t.rank").alias("_r"), F.col("_t.is_lo").alias("_is_lo")))
-    v = targets.join(r, ["_g", "_r"]).groupBy("_g", "_k", "_pos").agg(
-        F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(~F.col("_is_lo"), F.col("_v"))).alias("_vhi"))
-    frac = F.col("_pos") - F.floor("_pos")
-    q = F.when(frac == 0, F.col("_vlo")).otherwise((F.lit(1.0) - frac) * F.col("_vlo") + frac * F.col("_vhi"))
-    agg = v.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_k", q.alias("_q")))).alias("_qs"))
-    agg = agg.select("_g", F.transform("_qs", lambda s: s["_q"]).alias(out))
-    if keys is None:
-        return agg.withColumnRenamed("_g", groups[0])
-    return keys.join(agg, "_g").drop("_g")
+
+    def sketch(accuracy: int) -> DataFrame:
+        near = [min(1.0, max(0.0, p + side * 4.0 / accuracy)) for p in probs for side in (-1, 1)]
+        return x.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
+                                      F.percentile_approx("_v", F.array(*(F.lit(p) for p in near)), accuracy).alias("_b"))
+
+    from ..session import materialize
+    brackets, accuracy = materialize(sketch(ACCURACY), "brackets"), ACCURACY  # one row a group
+    largest = brackets.agg(F.max("_n")).first()[0] or 0
+    if 10 * largest / accuracy > INSIDE and largest > accuracy:
+        accuracy = -(-10 * largest // INSIDE)
+        brackets = materialize(sketch(accuracy), "brackets")
+    ends = []
+    # at the edge of a group the extreme value is the end; the bracket of a group of no more rows than the accuracy is the
+    # whole group, in a larger one a sketch of error n / accuracy leaves three ranks on either side
+    small = F.col("_n") <= accuracy
+    for i, p in enumerate(probs):
+        low = F.col("_least") if p - 4.0 / accuracy <= 0 else F.when(small, F.col("_least")).otherwise(F.col("_b")[2 * i])
+        high = F.col("_most") if p + 4.0 / accuracy >= 1 else F.when(small, F.col("_most")).otherwise(F.col("_b")[2 * i + 1])
+        ends += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]
+    brackets = brackets.select(*groups, "_n", *ends)
+    v = F.col("_v")
+    parts = []
+    for i in range(len(probs)):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        parts += [F.count(F.when(v < lo, 1)).alias(f"_below{i}"), F.count(F.when(v == lo, 1)).alias(f"_at{i}"), F.count(F.when((v == hi) & (hi > lo), 1)).alias(f"_top{i}"),
+                  F.sort_array(F.collect_list(F.when((v > lo) & (v < hi), v))).alias(f"_in{i}"), F.first(lo).alias(f"_l{i}"), F.first(hi).alias(f"_h{i}")]
+    found = _join_null_safe(x, brackets, groups).groupBy(*groups).agg(F.first("_n").alias("_n"), *parts)
+
+    def order_statistic(i: int, rank):
+        below, at, top, inside = F.col(f"_below{i}"), F.col(f"_at{i}"), F.col(f"_top{i}"), F.col(f"_in{i}")
+        place = rank - below - at
+        return (F.when(rank <= below, F.raise_error(F.lit("a bracket misses its order statistic")).cast("double"))
+                .when(place <= 0, F.col(f"_l{i}")).when(place <= F.size(inside), F.get(inside, (place - 1).cast("int")))
+                .when(place <= F.size(inside) + top, F.col(f"_h{i}")).otherwise(F.raise_error(F.lit("a bracket misses its order statistic")).cast("double")))
+
+    quantiles = []
+    for i, p in enumerate(probs):
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        share = pos - F.floor(pos)
+        first = order_statistic(i, (F.floor(pos) + 1).cast("long"))
+        quantiles.append(F.when(share == 0, first).otherwise((F.lit(1.0) - share) * first + share * order_statistic(i, (F.ceil(pos) + 1).cast("long"))))
+    return found.select(*groups, F.array(*quantiles).alias(out))

@@ -284,12 +284,20 @@ def q_repeated_cv(spark, sf_dir):
     return out.select("seed", "fold", r6("accuracy").alias("accuracy"), r6("f1_macro").alias("f1_macro"))
 
 
-@register("ml_stages")
+@register("ml_stages", with_views(["ml_frame"], """
+WITH x AS (SELECT label, unnest(['x1', 'x2', 'x3']) AS feature, unnest([x1, x2, x3]) AS v FROM ml_frame),
+r AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM x GROUP BY feature),
+s AS (SELECT label, feature, sum((v - lo) / (hi - lo)) AS s FROM x JOIN r USING (feature) GROUP BY ALL),
+c AS (SELECT l.label, t.feature, t.s - o.s + 1.0 AS c FROM (SELECT DISTINCT label FROM ml_frame) l, (SELECT feature, sum(s) AS s FROM s GROUP BY feature) t
+      JOIN s o ON o.feature = t.feature WHERE o.label = l.label)
+SELECT 1 AS stage, 'min' AS name, feature, round(lo, 6) AS value FROM r
+UNION ALL SELECT 1, 'max', feature, round(hi, 6) FROM r
+UNION ALL SELECT 2, 'class ' || label, feature, round(ln(sum(c) OVER (PARTITION BY label) / c), 6) FROM c"""))
 def q_ml_stages(spark, sf_dir):
-    """A fitted Pipeline and its stage names."""
-    model = MD.ml_stages(_ml(spark, sf_dir), ["x1", "x2", "x3"])
-    names = [(i, type(s).__name__) for i, s in enumerate(model.stages)]
-    return spark.createDataFrame(names, "stage INT, name STRING")
+    """What a fitted Pipeline learned."""
+    inputs = ["x1", "x2", "x3"]
+    model = MD.ml_stages(_ml(spark, sf_dir), inputs)
+    return MD.fitted_values(model, inputs, spark).withColumn("value", r6("value"))
 
 
 # ---------------------------------------------------------------- end-to-end experiment
