@@ -50,6 +50,36 @@ def html_elements(html, tag: str = "table") -> Column:
     return F.regexp_extract_all(_c(html), F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"), 0)
 
 
+def nested_elements(html, tag: str = "table") -> Column:
+    """Every ``<tag ...>...</tag>`` of a page whole, nested ones too, in the order of their opening tags.
+
+    The page is cut before opening and after closing tags, an array fold counts the depth after every piece, and an
+    element ends at the first piece that takes the depth below its own.  An element that is never closed is none,
+    nor is a closing tag without an opening one; a null page gives null."""
+    opening, closing = rf"(?i)^<{tag}(?:\s[^>]*)?>", rf"(?i)</{tag}\s{{0,20}}>$"
+    pieces = F.split(_c(html), rf"(?i)(?=<{tag}(?:\s[^>]*)?>)|(?<=</{tag}\s{{0,20}}>)", -1)
+    start = F.array().cast("array<struct<at: int, after: int>>")
+
+    def step(found: Column, piece: Column) -> Column:
+        before = F.coalesce(F.get(found, F.size(found) - 1)["after"], F.lit(0))
+        at = before + piece.rlike(opening).cast("int")
+        return F.concat(found, F.array(F.struct(at.alias("at"), F.greatest(at - piece.rlike(closing).cast("int"), F.lit(0)).alias("after"))))
+
+    def whole(p: Column) -> Column:
+        depths = F.aggregate(p, start, step)
+        both = F.arrays_zip(p.alias("piece"), depths.alias("depth"))
+        rest = lambda i: F.slice(both, i + 1, F.size(p))
+
+        def element(x: Column, i: Column) -> Column:
+            # pieces until the depth falls below that of this opening tag
+            open_ = F.when(x["piece"].rlike(opening), x["depth"]["at"])
+            length = F.array_position(F.transform(rest(i), lambda r: r["depth"]["after"] < open_), True)
+            return F.when(length > 0, F.array_join(F.transform(F.slice(both, i + 1, length.cast("int")), lambda r: r["piece"]), ""))
+        return F.filter(F.transform(both, element), lambda e: e.isNotNull())
+
+    return F.transform(F.array(pieces), whole)[0]
+
+
 def line_count(note) -> Column:
     return F.size(F.split(_c(note), "\n", -1))
 
@@ -66,9 +96,13 @@ def needs_attachment(note, min_lines: int = 5) -> Column:
 
 
 # ------------------------------------------------------------------ DataFrame rules
-def extract_html_tables(pages: DataFrame, id_col: str, html: str = "html", tag: str = "table") -> DataFrame:
-    """One row per element: (id, pos, fragment)."""
-    return pages.select(id_col, F.posexplode(html_elements(html, tag)).alias("pos", "fragment"))
+def extract_html_tables(pages: DataFrame, id_col: str, html: str = "html", tag: str = "table", consolidated: Column | None = None) -> DataFrame:
+    """One row per element, whole and nested ones too: (id, pos, fragment).
+
+    ``consolidated``: whether a page holds consolidated notes (a boolean expression over ``pages``); its elements then
+    carry it as ``consolidated``, null as false."""
+    kind = [] if consolidated is None else [F.coalesce(consolidated, F.lit(False)).alias("consolidated")]
+    return pages.select(id_col, *kind, F.posexplode(nested_elements(html, tag)).alias("pos", "fragment"))
 
 
 def pick_sections(sections: DataFrame, filing: str = "rcp_no", pos: str = "pos", title: str = "title",

@@ -403,6 +403,22 @@ def q_read_shards(spark, sf_dir):
     return io.read_shards(spark, sf_dir, "nation")
 
 
+@register("read_shards_mixed", "SELECT o_orderkey, o_custkey FROM orders")
+def q_read_shards_mixed(spark, sf_dir):
+    """A1 over written shards: columns differ between them, one holds no rows (and lacks a common column), one is no shard."""
+    from ..sources import io
+    from ..sources.tables import table
+    base = _written(spark, "shards")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    third = lambda k: o.where(F.pmod("o_orderkey", F.lit(3)) == k)
+    third(0).drop("o_orderdate").write.mode("overwrite").parquet(f"{base}/a")
+    third(1).drop("o_totalprice").write.mode("overwrite").parquet(f"{base}/b")
+    third(2).drop("o_orderdate").write.mode("overwrite").parquet(f"{base}/deep/c")
+    o.select("o_custkey").where("false").write.mode("overwrite").parquet(f"{base}/empty")
+    o.select("o_custkey").limit(5).write.mode("overwrite").option("compression", "none").csv(f"{base}/other")
+    return io.read_shards(spark, base, "part-").select("o_orderkey", "o_custkey")
+
+
 @register("lookup_from_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def q_lookup_from_json(spark, sf_dir):
     from ..sources import io

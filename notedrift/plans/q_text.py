@@ -231,6 +231,16 @@ def q_extract_html_tables(spark, sf_dir):
     return t.select("page_id", F.col("pos").cast("long").alias("pos"), F.md5("fragment").alias("fragment_md5"))
 
 
+@register("extract_tagged_tables", r"""
+SELECT page_id, regexp_matches(url, '[02468]$') AS consolidated, CAST(pos - 1 AS BIGINT) AS pos, md5(fragment) AS fragment_md5 FROM (
+  SELECT page_id, url, unnest(f) AS fragment, unnest(range(1, len(f) + 1)) AS pos
+  FROM (SELECT page_id, coalesce(url, '') AS url, regexp_extract_all(html, '(?is)<a(?:\s[^>]*)?>.*?</a\s*>') AS f FROM pages))""")
+def q_extract_tagged_tables(spark, sf_dir):
+    """Elements of a page with the kind of note the page holds."""
+    t = E.extract_html_tables(table(spark, sf_dir, "pages"), "page_id", tag="a", consolidated=F.col("url").rlike("[02468]$"))
+    return t.select("page_id", "consolidated", F.col("pos").cast("long").alias("pos"), F.md5("fragment").alias("fragment_md5"))
+
+
 @register("pick_sections", with_views(["sections"], """
 SELECT rcp_no, md5(max_by(CASE WHEN k = 's' THEN text END, CASE WHEN k = 's' THEN pos END)) AS note_md5,
        md5(max_by(CASE WHEN k = 'c' THEN text END, CASE WHEN k = 'c' THEN pos END)) AS consolidated_md5

@@ -9,7 +9,9 @@ explicit per-column options (``normalize_missing``).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,19 +25,31 @@ RESULTS_SCHEMA = T.StructType([T.StructField(f"c{i}", T.DoubleType(), True) for
 
 
 def read_shards(spark: SparkSession, path: str, keyword: str, fmt: str = "parquet",
-                schema: T.StructType | None = None) -> DataFrame:
-    """A1: every file under ``path`` (recursively) whose base name before the
-    first '.' contains ``keyword``; empty shards add nothing; the union keeps
+                schema: T.StructType | None = None, extension: str | None = None) -> DataFrame:
+    """A1: every file under ``path`` (recursively) with the ``extension`` (that of the
+    format by default) whose base name before the first '.' contains ``keyword``; empty shards add nothing; the union keeps
     only the columns common to all shards (``join='inner'``)."""
-    reader = spark.read.format(fmt).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{keyword}*")
+    reader = spark.read.format(fmt).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{keyword}*.{extension or fmt}")
     if schema is not None:
         reader = reader.schema(schema)
     files = (reader.load(path).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_name").alias("n"))
              .filter(F.split(F.col("n"), r"\.").getItem(0).contains(keyword)).select("p").distinct())
-    paths = sorted(r["p"] for r in files.collect())  # file names only, never rows
+    paths = sorted(r["p"] for r in files.collect())  # file names only, never rows; a shard without rows has none here
     if not paths:
         raise FileNotFoundError(f"no shard with '{keyword}' under {path}")
-    frames = [(spark.read.schema(schema) if schema is not None else spark.read).format(fmt).load(p) for p in paths]
+
+    def load(some: list[str]) -> DataFrame:
+        return (spark.read.schema(schema) if schema is not None else spark.read).format(fmt).load(some)
+
+    if schema is not None:
+        return load(paths)
+    # shards of one footer schema are one load: the plan grows with the distinct schemas, not with the files
+    with ThreadPoolExecutor(16) as pool:
+        schemas = list(pool.map(inheritable_thread_target(spark)(lambda p: load([p]).schema), paths))
+    groups: dict[str, list[str]] = {}
+    for p, found in zip(paths, schemas):
+        groups.setdefault(found.json(), []).append(p)
+    frames = [load(some) for some in groups.values()]
     common = [c for c in frames[0].columns if all(c in f.columns for f in frames[1:])]
     out = frames[0].select(*common)
     for f in frames[1:]:
