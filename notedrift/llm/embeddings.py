@@ -1,12 +1,17 @@
 """Operator 6: embedding near duplicates with randomised-rotation binary codes.
 
 Equal vectors are collapsed first.  Every distinct unit vector is turned by a
-fixed random rotation and stored as its signs, with a correction factor: the
-cosine of the rotated vector and its sign code.  Angles add up at most, so the
-angle of one vector's code and a partner is no more than the code's own angle plus
-the link angle.  A pair beyond that is discarded; all others are computed again
-exactly in double precision, so no pair below the threshold links and none at or
-above it is lost.
+fixed random rotation and stored as its signs, one bit each, with a correction factor:
+the cosine of the rotated vector and its sign code.  The product of a code with another
+rotated vector, divided by the factor, is an unbiased estimate of their cosine over the
+random rotations: what the code has beside its own vector points in a random direction.
+For a pair at cosine c the error has a deviation of sqrt(1 - c^2) * sqrt(1 - f^2) / (f *
+sqrt(d - 1)), so a pair whose estimate is ``CONFIDENCE`` deviations below the threshold
+is discarded (a linked pair meets that with a chance of about 1e-9).  In fewer than
+``LEAST_DIMENSIONS`` dimensions, where that law is rough, the proven bound is taken: the
+angle of a code and a partner is no more than the code's own angle and the link angle
+together.  All other pairs are computed again exactly in double precision, so no pair
+below the threshold links.
 
 Every vector has one home: the cell of its nearest centre (a bounded sample of the
 vectors; every vector is indexed).  Cells whose centres are close are packed into
@@ -44,6 +49,8 @@ PER_CELL, MOST_CENTRES, UNIT, VISITS = 1_000, 4_096, 2_048, 4
 WITNESSES = 4
 #: Slack of the bounds for rounding.
 SLACK = 1e-6
+#: Deviations of the estimate that a discarded pair is below the threshold; dimensions from which its law is used.
+CONFIDENCE, LEAST_DIMENSIONS = 6.0, 32
 
 
 @lru_cache(8)
@@ -53,19 +60,32 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotated vectors, their signs (+-1) and the correction factors."""
+def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed signs of the rotated vectors (one row of bytes each) and the correction factors."""
     turned = unit @ rotation(unit.shape[1])
-    signs = np.where(turned >= 0, 1.0, -1.0)
-    return turned, signs, (turned * signs).sum(axis=1) / np.sqrt(unit.shape[1])
+    return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(unit.shape[1])
 
 
-def undecided(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs (code row, vector row) whose cosine may reach the threshold: all but those a proven bound excludes."""
-    seen = (signs.astype(np.float32) @ turned.T.astype(np.float32)) / np.float32(np.sqrt(signs.shape[1]))
-    angle = np.arccos(np.clip(factor, -1, 1)) + np.arccos(np.clip(threshold, -1, 1))
-    least = np.cos(np.minimum(angle, np.pi)) - 1e-5
-    return np.argwhere(seen >= least[:, None].astype(np.float32))
+def signs(packed: np.ndarray, d: int) -> np.ndarray:
+    """Codes as rows of +-1."""
+    return np.unpackbits(packed, axis=1, count=d).astype(np.float32) * 2 - 1
+
+
+def least_estimate(factor: np.ndarray, d: int, threshold: float) -> np.ndarray:
+    """The estimate below which a pair of the code is discarded."""
+    if d < LEAST_DIMENSIONS:
+        angle = np.arccos(np.clip(factor, -1, 1)) + np.arccos(np.clip(threshold, -1, 1))
+        return np.cos(np.minimum(angle, np.pi)) / factor - 1e-5
+    # the least of c - CONFIDENCE deviations at c over [threshold, 1] is at its lower end for a threshold of 0 or more
+    width = np.sqrt(1 - max(threshold, 0.0) ** 2) if threshold > 0 else 1.0
+    return threshold - CONFIDENCE * width * np.sqrt(np.maximum(1 - factor ** 2, 0)) / (factor * np.sqrt(d - 1)) - 1e-5
+
+
+def undecided(code: np.ndarray, factor: np.ndarray, turned: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs (code row, vector row) that the estimate of their cosine does not rule out; ``code`` as rows of +-1."""
+    d = code.shape[1]
+    estimate = (code @ turned.T.astype(np.float32)) / (np.sqrt(d) * factor[:, None]).astype(np.float32)
+    return np.argwhere(estimate >= least_estimate(factor, d, threshold)[:, None].astype(np.float32))
 
 
 def _units(frame: pd.DataFrame) -> np.ndarray:
@@ -80,8 +100,10 @@ def _homes(centres: dict[int, np.ndarray], first: dict[int, int]):
             for d, own in frame.groupby(frame["embedding"].map(len)):
                 out = own[["node", "m", "embedding"]].copy()
                 out["cell"], out["near"] = -int(d), -1.0
+                unit = _units(own)
+                code, out["factor"] = codes(unit)
+                out["code"] = [c.tobytes() for c in code]
                 if d in centres:
-                    unit = _units(own)
                     cell, near = np.empty(len(own), np.int64), np.empty(len(own))
                     for lo in range(0, len(own), 4_096):
                         dots = unit[lo:lo + 4_096] @ centres[d].T
@@ -161,7 +183,7 @@ def _visits(centres: dict[int, np.ndarray], first: dict[int, int], place: dict[i
                             many = lower[size[lower] > 1]
                             several = [np.arange(begin[j], min(begin[j] + size[j], unit_of[i])) for j in many.tolist()]
                             visits[i] = np.unique(np.concatenate([visits[i], begin[lower], *several]))
-                out = own[["node", "m", "embedding"]].copy()
+                out = own[["node", "m", "embedding", "code", "factor"]].copy()
                 out["unit"] = unit_of
                 out["visits"] = visits
                 yield out
@@ -187,7 +209,9 @@ def _compare(threshold: float, step: int = 2_048):
         unit_no, chunk = key
         frame = frame.sort_values("node", kind="stable")
         unit = _units(frame)
-        turned, signs, factor = codes(unit)
+        d = unit.shape[1]
+        code = signs(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), d)
+        factor, turned = frame["factor"].to_numpy(), unit @ rotation(d)
         home = frame["home"].to_numpy()
         m = frame["m"].to_numpy().astype(float)
         left, right = np.flatnonzero(home), np.flatnonzero(~home)
@@ -195,7 +219,7 @@ def _compare(threshold: float, step: int = 2_048):
 
         def compare(x: np.ndarray, y: np.ndarray, same: bool) -> None:
             nonlocal root
-            got = undecided(signs[x], factor[x], turned[y], threshold)
+            got = undecided(code[x], factor[x], turned[y], threshold)
             a, b = x[got[:, 0]], y[got[:, 1]]
             if same:
                 a, b = a[a < b], b[a < b]
@@ -246,7 +270,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         centres[d], first[d] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True), at
         at += len(found)
 
-    shape = f"node long, m long, embedding {kind['embedding']}"
+    shape = f"node long, m long, embedding {kind['embedding']}, code binary, factor double"
     homes = materialize(distinct.select("node", "m", "embedding").mapInPandas(_homes(centres, first), f"{shape}, cell long, near double"), "op6-homes")
     # one row a cell: at most MOST_CENTRES and one for each vector length
     cells = homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("radius")).collect()
@@ -254,10 +278,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     visits = _visits(centres, first, place, {r["cell"]: r["radius"] for r in cells}, threshold)
     placed = materialize(homes.mapInPandas(visits, f"{shape}, unit long, visits array<long>"), "op6-units")
     chunk = F.floor(F.col("unit") / VISITS).alias("chunk")
-    guests = placed.select(F.explode("visits").alias("at"), chunk, "node", "m", "embedding", F.lit(False).alias("home"))
+    guests = placed.select(F.explode("visits").alias("at"), chunk, "node", "m", "embedding", "code", "factor", F.lit(False).alias("home"))
     met = guests.select("at", "chunk").distinct()
     inside = placed.select(F.col("unit").alias("at"), chunk).distinct()
-    hosts = placed.select(F.col("unit").alias("at"), "node", "m", "embedding", F.lit(True).alias("home")).join(met.union(inside).distinct(), "at")
+    hosts = placed.select(F.col("unit").alias("at"), "node", "m", "embedding", "code", "factor", F.lit(True).alias("home")).join(met.union(inside).distinct(), "at")
     found = guests.unionByName(hosts).groupBy("at", "chunk").applyInPandas(_compare(threshold), "node long, links long, root long")
     found = materialize(found, "op6-links")
 
