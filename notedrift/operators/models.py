@@ -172,19 +172,19 @@ def repeated_cv(df: DataFrame, make_estimator: Callable[[], object], id_col: str
     The fits are independent; ``parallel`` of them are submitted at a time.
     Preparation that learns from the data (scaling) belongs into the estimator
     (a Pipeline), so that each fold fits it on its training part alone."""
+    from .many_svm import packed_folds
+    from .nb_cv import repeated_folds
     from ..session import materialize
-    folded = None
-    for seed in seeds:
-        one = stratified_folds(df.select(id_col, label), id_col, label, k, seed).select(id_col, F.lit(seed).alias("_seed"), "fold")
-        folded = one if folded is None else folded.unionByName(one)
-    folded = materialize(folded, "folds")
-    data = df.persist()
+    order = sorted(seeds)
+    # the folds of all seeds are one array a row, attached once
+    packed = packed_folds(repeated_folds(df.select(id_col, label), id_col, label, k, order).select(F.col(id_col).alias("id"), F.col(label).alias("label"), "seed", "fold"), len(order))
+    data = materialize(df.join(packed.select(F.col("id").alias(id_col), F.col("folds").alias("_folds")), id_col), "folds").persist()
 
     def fit(task: tuple[int, int]) -> tuple:
         seed, fold = task
-        own = data.join(folded.filter(F.col("_seed") == seed), id_col)
-        model = make_estimator().fit(own.filter(F.col("fold") != fold))
-        pred = model.transform(own.filter(F.col("fold") == fold))
+        own = F.col("_folds")[order.index(seed)]
+        model = make_estimator().fit(data.filter(own != fold))
+        pred = model.transform(data.filter(own == fold))
         m = classification_metrics(pred.select(F.col(label).cast("long").alias("label"),
                                                F.col("prediction").cast("long").alias("prediction")))
         r = m.collect()[0]  # one metric row per fit
