@@ -303,6 +303,12 @@ def q_one_hot_sector(spark, sf_dir):
     return reshape.one_hot(m.select("crp_cd", "sector2"), "sector2", prefix="ind", levels=_SECTOR2)
 
 
+@register("one_hot_long", "SELECT doc_id, source AS level FROM documents WHERE source IS NOT NULL")
+def q_one_hot_long(spark, sf_dir):
+    """H5 without a column for each level: any number of levels."""
+    return reshape.one_hot_long(table(spark, sf_dir, "documents"), ["doc_id"], "source")
+
+
 @register("encode_labels", "SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS BIGINT) AS lang_code FROM documents")
 def q_encode_labels(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -217,6 +217,12 @@ def q_parse_report_title(spark, sf_dir):
     return f.select("rcp_no", kind.alias("kind"), name.alias("name"))
 
 
+@register("keyword_in_name", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 're') ")
+def q_keyword_in_name(spark, sf_dir):
+    """Names that hold a keyword."""
+    return table(spark, sf_dir, "part").where(X.keyword_in_name("p_name", "re")).select("p_partkey", "p_name")
+
+
 @register("url_param", "SELECT page_id, split_part(url, '=', 2) AS param FROM pages")
 def q_url_param(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", E.url_param("url").alias("param"))
