@@ -90,7 +90,6 @@ def test_collision_is_seen_and_hashed_anew(spark, monkeypatch):
             h[:] = 1
         return (h, *rest)
     rows = [("new york new york", "en")] * 20
-    from pyspark.sql import SparkSession  # noqa: F401  workers are forked before the patch, so it is run here
     import pyarrow as pa
     batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([g for _, g in rows])], names=["text", "lang"])
     monkeypatch.setattr(collocations, "text_words", clash)
