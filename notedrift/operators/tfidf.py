@@ -10,6 +10,10 @@ Skew: very common terms are hot keys for the term-keyed join.  Document
 frequencies are pre-aggregated (map-side partial counts); the rows of the most
 frequent terms (top-k, bounded) meet their idf by broadcast, and only the rows of
 the other terms are shuffled by term.
+
+Distances need no term names: ``document_vectors`` keeps a document as one row
+with a sorted array of (term hash, weight), so a pair of documents is a join of
+two rows and a merge of two arrays.
 """
 
 from __future__ import annotations
@@ -109,16 +113,79 @@ def cosine_distance(weights: DataFrame, pairs: DataFrame, id_col: str = "id",
                     prior_cols: tuple[str, ...] | str = "prior_id", out_prefix: str = "dist") -> DataFrame:
     """Adds one distance column per prior column of ``pairs``
     (``dist_<suffix>`` for ``prior_<suffix>``, else ``distance``).  All pair
-    kinds are scored in one pass."""
+    kinds are scored in one pass.  ``weights``: rows of ``tfidf`` or of ``document_vectors``."""
     prior_cols = (prior_cols,) if isinstance(prior_cols, str) else tuple(prior_cols)
     allp = None
     for pc in prior_cols:
         one = pairs.select(F.col(id_col).alias("_id"), F.col(pc).alias("_prior"))
         allp = one if allp is None else allp.unionByName(one)
-    d = pair_distances(weights, allp, "_id", "_prior")
+    d = (vector_distances if "vector" in weights.columns else pair_distances)(weights, allp, "_id", "_prior")
     out = pairs
     for pc in prior_cols:
         name = f"{out_prefix}_{pc[len('prior_'):]}" if pc.startswith("prior_") and len(prior_cols) > 1 else "distance"
         dd = d.select(F.col("_id").alias(id_col), F.col("_prior").alias(pc), F.col("distance").alias(name))
         out = out.join(dd, [id_col, pc], "left")
     return out
+
+
+def term_counts(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
+    """``(id, codes, counts)``: a document's distinct terms as sorted 64-bit hashes with their
+    counts, inside the row, so neither tokens nor counts are shuffled.  A document without tokens
+    (or with a null array) keeps its row with empty arrays; null tokens count as one term of their own."""
+    sorted_codes = F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t)))
+    d = df.select(F.col(id_col).alias("id"), F.coalesce(sorted_codes, F.array().cast("array<bigint>")).alias("_c"))
+    begins = F.transform("_c", lambda x, i: F.when((i == 0) | (x != F.get(F.col("_c"), i - 1)), i))
+    d = d.withColumn("_s", F.filter(begins, lambda i: i.isNotNull()))
+    ends = F.concat(F.slice("_s", F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0))), F.array(F.size("_c")))
+    return d.select("id", F.transform("_s", lambda i: F.get(F.col("_c"), i)).alias("codes"),
+                    F.zip_with("_s", ends, lambda a, b: b - a).alias("_n")).select(
+        "id", "codes", F.slice("_n", F.lit(1), F.size("codes")).alias("counts"))
+
+
+def document_vectors(df: DataFrame, id_col: str, tokens: Column, *, max_df: float | int | None = 0.95,
+                     min_df: float | int | None = 0, hot_terms: int = 10000) -> DataFrame:
+    """I10 for distances: ``(id, vector)``, the weights of ``tfidf`` as one array of ``(code, w)`` a
+    document, sorted by code (``xxhash64`` of the term; two of V terms share a code with a
+    probability of V^2 / 2^65).  ``id_col`` must be unique.  Documents whose terms are all
+    dropped have no row.  Both tables, counts and vectors, are written to the checkpoint folder.
+
+    The ``hot_terms`` most frequent terms (a top-k) meet their idf by broadcast; only the entries
+    of the others are shuffled by code.  Entries are gathered per document on the map side first.
+    """
+    from ..session import materialize
+    counts = materialize(term_counts(df, id_col, tokens), "document_counts")
+    n = counts.select(F.count(F.lit(1)).cast("double")).scalar()
+    seen = materialize(counts.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("df")), "document_frequencies")
+    keep = F.lit(True)
+    hi, lo = _limit(max_df, n), _limit(min_df, n)
+    if hi is not None:
+        keep = keep & (F.col("df") <= hi)
+    if lo is not None:
+        keep = keep & (F.col("df") >= lo)
+    idf = (F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1).alias("idf")
+    hot = seen.orderBy(F.col("df").desc(), "code").limit(hot_terms)
+    entries = counts.select("id", F.explode(F.arrays_zip("codes", "counts")).alias("e")).select(
+        "id", F.col("e.codes").alias("code"), F.col("e.counts").alias("tf"))
+    near = entries.join(F.broadcast(hot.where(keep).select("code", idf)), "code")
+    far = entries.join(F.broadcast(hot.select("code")), "code", "left_anti").join(seen.where(keep).select("code", idf), "code")
+    w = F.col("tf") * F.col("idf")
+    rows = (near.unionByName(far).select("id", "code", w.alias("w")).groupBy("id")
+                .agg(F.sort_array(F.collect_list(F.struct("code", "w"))).alias("_e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm")))
+    unit = F.transform("_e", lambda x: F.struct(x["code"].alias("code"), (x["w"] / F.col("_norm")).alias("w")))
+    return materialize(rows.select("id", unit.alias("vector")), "document_vectors")
+
+
+def vector_distances(vectors: DataFrame, pairs: DataFrame, a: str = "id", b: str = "prior_id") -> DataFrame:
+    """I11 core over ``document_vectors``: ``(a, b, distance)`` for distinct non-null pairs whose
+    documents both have a vector.  Both arrays are sorted, so their concatenation sorts by one merge, and
+    a term of both documents stands in two neighbouring entries."""
+    p = (pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+              .where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).distinct())
+    one = vectors.select(F.col("id").alias("_a"), F.col("vector").alias("_va"))
+    two = vectors.select(F.col("id").alias("_b"), F.col("vector").alias("_vb"))
+    m = p.join(two, "_b").join(one, "_a").select("_a", "_b", F.sort_array(F.concat("_va", "_vb")).alias("_m"))
+    shared = F.zip_with("_m", F.slice("_m", F.lit(2), F.size("_m")),
+                        lambda x, y: F.when(x["code"] == y["code"], x["w"] * y["w"]).otherwise(F.lit(0.0)))
+    dot = F.aggregate(shared, F.lit(0.0), lambda s, x: s + x)
+    return m.select(F.col("_a").alias(a), F.col("_b").alias(b),
+                    F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - dot)).alias("distance"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import periods as P
+from ..functions import tagging as G
 from ..functions import text as X
 from ..operators import clean, match, revisions, tfidf
 from ..session import materialize
@@ -45,35 +46,49 @@ def r6(c) -> F.Column:
 
 
 # ---------------------------------------------------------------- flagship
+def _change(spark: SparkSession, sf_dir: str, tokens) -> DataFrame:
+    """Distances of resolved notes to the notes a quarter and a year earlier; ``tokens``: note column ->
+    token array.  Revisions are resolved on keys and dates alone; the text of the surviving
+    filings is fetched by receipt number (unique) and leaves its task only as term counts."""
+    narrow = has_note(spark, sf_dir).select("crp_cd", "rpt_nm", "rcp_no", "rcp_dt", "dic_cls")
+    v = with_quarter(revisions.resolve_revisions(narrow)).where(F.col("quarter").isNotNull())
+    # read by the vectoriser, the links and the result
+    v = materialize(v.select("crp_cd", "rpt_nm", "period", "rcp_dt", "rcp_no"), "resolved_filings")
+    # dealt by number first: the source's own join may leave its rows in few tasks
+    notes = clean.prefer_consolidated(A.filings(spark, sf_dir)).select("rcp_no", "foot_note").repartition("rcp_no").join(v.select("rcp_no"), "rcp_no")
+    vectors = tfidf.document_vectors(notes, "rcp_no", tokens(F.col("foot_note")), max_df=0.95, min_df=0)
+    linked = materialize(match.match_prior_filings(v), "prior_links")
+    d = tfidf.cosine_distance(vectors, linked, "rcp_no", ("prior_q", "prior_y"))
+    return d.select("crp_cd", "rpt_nm", "rcp_no", "prior_q", r6("dist_q").alias("dist_q"), "prior_y", r6("dist_y").alias("dist_y"))
+
+
 def note_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much did each company's note change since its previous quarter and
     since the same quarter a year earlier?  filings -> F1 -> C14 -> D4 -> I1 ->
     I10 -> E5 -> I11."""
-    # The resolved notes feed the vectoriser, the document count and the
-    # prior-filing links, and the weights feed both sides of every pair: each
-    # is written once to the shared checkpoint folder instead of recomputed.
-    # A compact numeric document key (fixed when the table is written) keys
-    # the term aggregation and the pair joins.
-    v = materialize(valid_notes(spark, sf_dir).withColumn("text", X.normalize_note("foot_note")).drop("foot_note")
-                    .withColumn("doc", F.monotonically_increasing_id()), "valid_notes")
-    weights = materialize(tfidf.tfidf(v, "doc", "text", max_df=0.95, min_df=0), "note_weights")
-    # one row per filing; it feeds both pair kinds and the final join
-    linked = materialize(match.match_prior_filings(v.select("crp_cd", "rpt_nm", "period", "rcp_dt", "rcp_no", "doc"),
-                                                   id_col="doc"), "prior_links")
-    d = tfidf.cosine_distance(weights, linked, "doc", ("prior_q", "prior_y"))
-    for lag in ("q", "y"):
-        names = v.select(F.col("doc").alias(f"prior_{lag}"), F.col("rcp_no").alias(f"prior_{lag}_no"))
-        d = d.join(names, f"prior_{lag}", "left")
-    return d.select("crp_cd", "rpt_nm", "rcp_no", F.col("prior_q_no").alias("prior_q"), r6("dist_q").alias("dist_q"),
-                    F.col("prior_y_no").alias("prior_y"), r6("dist_y").alias("dist_y"))
-
-
-NOTE_CHANGE_SQL = with_views(["valid_notes"], r"""
-WITH v AS (
-  SELECT crp_cd, rpt_nm, rcp_no, rcp_dt, period,
-         regexp_replace(regexp_replace(regexp_replace(foot_note, '\n+', chr(10), 'g'), '\n ', chr(10), 'g'), ' {2,}', '', 'g') AS text
-  FROM valid_notes
-),
+    return _change(spark, sf_dir, lambda note: X.tokenize(X.normalize_note(note)))
+
+
+def note_change_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on tagged notes: tagged (I3), other tags dropped (I4), numbers dropped (I5), joined to
+    one string (I6) whose words, surfaces and tags alike, are weighted (I10, I11)."""
+    return _change(spark, sf_dir, lambda note: X.tokenize(X.join_tokens(
+        X.drop_numeric_tokens(X.filter_tags(G.tagged_tokens(G.tag_text(note)))))))
+
+
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(foot_note, '\n+', chr(10), 'g'), '\n ', chr(10), 'g'), ' {2,}', '', 'g')"
+_NOTES = f"""v AS (SELECT crp_cd, rpt_nm, rcp_no, rcp_dt, period, {_NORMAL} AS text FROM valid_notes),"""
+_TAGGED_NOTES = f"""
+s0 AS (SELECT *, flatten(list_transform(string_split_regex({_NORMAL}, '\\. |\\? |! |\\n|\\.\\n'),
+                 lambda s: regexp_extract_all(s, '{G.DEFAULT_TOKEN}'))) AS toks FROM valid_notes),
+s1 AS (SELECT *, list_transform(toks, lambda w: w || '/' || CASE
+         WHEN regexp_matches(w, '^\\p{{N}}') THEN 'SN' WHEN regexp_matches(w, '^\\p{{Lu}}') THEN 'NNP'
+         WHEN regexp_matches(w, '^\\p{{L}}{{1,2}}$') THEN 'JX' WHEN regexp_matches(w, '^\\p{{L}}') THEN 'NNG'
+         WHEN w IN ('.', '?', '!') THEN 'SF' ELSE 'SW' END) AS tt FROM s0),
+v AS (SELECT crp_cd, rpt_nm, rcp_no, rcp_dt, period, array_to_string(list_filter(tt, lambda s:
+        list_contains({list(X.KEPT_TAGS)}, regexp_extract(s, '[^/]*$', 0))
+        AND NOT regexp_matches(replace(split_part(s, '/', 1), ',', ''), '{X.NUMERIC_TOKEN}')), ' ') AS text FROM s1),"""
+_CHANGE_SQL = r"""
 toks AS (SELECT rcp_no AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM v),
 tf AS (SELECT id, term, count(*) AS tf FROM toks GROUP BY id, term),
 dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -115,9 +130,11 @@ SELECT l.crp_cd, l.rpt_nm, l.rcp_no, l.prior_q, round(dq.distance, 6) AS dist_q,
 FROM linked l
 LEFT JOIN dist dq ON dq.a = l.rcp_no AND dq.b = l.prior_q
 LEFT JOIN dist dy ON dy.a = l.rcp_no AND dy.b = l.prior_y
-""")
+"""
+NOTE_CHANGE_SQL = with_views(["valid_notes"], "WITH " + _NOTES + _CHANGE_SQL)
 
 register("note_change", NOTE_CHANGE_SQL)(note_change)
+register("note_change_tagged", with_views(["valid_notes"], "WITH " + _TAGGED_NOTES.lstrip() + _CHANGE_SQL))(note_change_tagged)
 
 
 # ---------------------------------------------------------------- revisions (F)
