@@ -152,7 +152,8 @@ def nearest_attachment(options: DataFrame, filing: str = "rcp_no", filed: str =
     (absolute days), then the earlier position - a ``min_by`` per filing.
     ``exact``: the reference's order-dependent fold: a correction replaces the
     current pick when strictly nearer than it; a plain title is taken only
-    while nothing is picked and it is strictly nearer (trap T9).
+    while nothing is picked and it is strictly nearer (trap T9).  Options of one
+    position are taken by distance, then value.
     """
     o = options.withColumn("_delta", F.abs(F.datediff(F.col(filed), F.col(opt_date))))
     sep = F.col(title).isin(*SEPARATE_CORRECTION, *SEPARATE_PLAIN)

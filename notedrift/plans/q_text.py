@@ -289,7 +289,17 @@ def q_nearest_attachment(spark, sf_dir):
     return E.nearest_attachment(A.attachment_options(spark, sf_dir))
 
 
-@register("nearest_attachment_exact")
+@register("nearest_attachment_exact", with_views(["attachment_options"], f"""
+WITH k AS (SELECT rcp_no, pos, value, abs(filed - opt_date) AS delta, title IN ({_CORR}) AS corr,
+                  unnest([title IN ({_SEP}), title IN ({_CON})]) AS hit, unnest(['s', 'c']) AS kind FROM attachment_options),
+o AS (SELECT * FROM k WHERE hit),
+-- the first of a kind is taken whatever it is; later only strictly nearer corrections replace it
+firsts AS (SELECT rcp_no, kind, arg_min(value, {{'p': pos, 'd': delta, 'v': value}}) AS value, arg_min(delta, {{'p': pos, 'd': delta}}) AS delta, min(pos) AS pos FROM o GROUP BY ALL),
+nearer AS (SELECT o.rcp_no, o.kind, arg_min(o.value, {{'d': o.delta, 'p': o.pos, 'v': o.value}}) AS value FROM o
+           JOIN firsts f ON f.rcp_no = o.rcp_no AND f.kind = o.kind WHERE o.corr AND o.delta < f.delta AND o.pos > f.pos GROUP BY ALL)
+SELECT f.rcp_no, max(CASE WHEN f.kind = 's' THEN coalesce(n.value, f.value) END) AS dcm_no,
+       max(CASE WHEN f.kind = 'c' THEN coalesce(n.value, f.value) END) AS col_dcm_no
+FROM firsts f LEFT JOIN nearer n ON n.rcp_no = f.rcp_no AND n.kind = f.kind GROUP BY f.rcp_no"""))
 def q_nearest_attachment_exact(spark, sf_dir):
     return E.nearest_attachment(A.attachment_options(spark, sf_dir), mode="exact")
 
