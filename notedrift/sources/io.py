@@ -93,8 +93,8 @@ def normalize_missing(df: DataFrame, na_strings: dict[str, Sequence[str]] | None
 
 
 def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Persist a cleaning stage as parquet (also a lineage cut)."""
-    w = df.write.mode("overwrite")
+    """Persist a cleaning stage as parquet (also a lineage cut), by the denser codec, since a stage holds whole texts."""
+    w = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
