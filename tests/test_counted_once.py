@@ -64,6 +64,18 @@ def test_normalised_notes_and_tags(spark):
         assert (r.a, r.c) == (r.b, r.d), r.t
 
 
+def test_tags_of_many_texts(spark):
+    """Tokens and tags are those of the patterns, text by text."""
+    odd = ["", None, ".", "a.", "a.\n", ". ", "? ! .", "1.2.3, 4,5. 6,,7 8.\n9", "x.\ny", "Mr. X! Really?\nYes.", "³½ ４.５ Ⅷ", "\u00a0a\u2003b\x0bc\x1cd\x85e", "a/b;c", "１.2", "end. ", "..  ..", "!\n?", "don't 3.14.", "日本語。x", "𝒳𝒴.5 5.𝒳", "1. 2", "1.\n2"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*TEXTS, *odd])], "id long, t string").coalesce(1)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    for d in (df, docs):
+        for normal in (True, False):
+            got = d.select("id", "t", G.tag_text("t", normal).alias("a"), G.tag_by_patterns("t", normal).alias("b"))
+            bad = [r for r in got.collect() if r.a != r.b]
+            assert not bad, bad[:1]
+
+
 def test_folds_of_blocks_and_parts(spark, monkeypatch):
     monkeypatch.setattr(NB, "FOLD_ROWS", 64)
     monkeypatch.setattr(NB, "FOLD_KEYS", 150)
