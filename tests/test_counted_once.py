@@ -135,3 +135,13 @@ def test_written_tables_are_dense_and_leave_no_shuffle(spark):
     files = [f for f in os.listdir(table.materialized_path.removeprefix("file:")) if f.endswith(".parquet")]
     assert files and all(".zstd." in f for f in files) and table.count() == 7
     assert spark.conf.get(session._CLEANUP) == before
+
+
+def test_report_reads_its_rows_from_a_table(spark, monkeypatch):
+    """Distances are worked out once, not for every pass of the regression report over its rows."""
+    from notedrift.plans import q_linear
+    seen = []
+    monkeypatch.setattr(q_linear.G, "ols_report", lambda df, *a, **b: seen.append(df) or df)
+    q_linear.q_ols_report(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan and seen[0].count() > 0
